@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import Scratch, read_table
-from . import bpe, leakage, mixing, neardup, pieces, splits
+from . import bpe, leakage, mixing, neardup, pieces, splits, truncation
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,15 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.share_report(*_mix(spark, sf_dir, Scratch(spark, "p8")))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncated(read_table(spark, sf_dir, "documents"), Scratch(spark, "p9")).select("doc_id")
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    return truncation.truncation_rates(documents, truncation.truncated(documents, Scratch(spark, "p9")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -68,6 +77,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_ids": p7_ids,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_rates": p9_rates,
 }
 
 #: The code points Python counts as white space.
