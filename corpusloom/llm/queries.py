@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import Scratch, read_table
-from . import bpe, leakage, mixing, neardup, pieces, splits, truncation
+from . import bpe, leakage, markup, mixing, neardup, pieces, splits, truncation
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,19 @@ def p2_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.split_groups(scratch.table(whole), scratch)
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.record_kinds(
+        [
+            ("chunks", read_table(spark, sf_dir, "chunks"), "chunk_id", "text"),
+            ("papers_parsed", read_table(spark, sf_dir, "papers_parsed"), "arxiv_id", "full_text"),
+        ]
+    )
+
+
+def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.strip_markup(read_table(spark, sf_dir, "chunks"), "chunk_id", "text").distinct()
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_items(read_table(spark, sf_dir, "qa_dataset"), read_table(spark, sf_dir, "eval_details"))
 
@@ -71,6 +84,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_split": p2_split,
+    "p3_found": p3_found,
+    "p3_clean": p3_clean,
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
