@@ -28,16 +28,16 @@ from .words import shingle_sets
 SKETCHES = 2
 POINTS = 15
 LINES = [(a - 1, b - 1, (a ^ b) - 1) for a in range(1, 16) for b in range(a + 1, 16) if a ^ b > b]
-#: Further min-hashes, cut to four bits each, that thin out chance collisions before verification.
-NIBBLES = 32
-#: A bucket of more distinct texts than this is linked through its least text first.
-SMALL_BUCKET = 64
+#: Min-hashes cut to four bits that thin out chance collisions before verification; the first are
+#: those of the signatures.
+NIBBLES = 64
+#: A bucket of more distinct texts than this is compared by leaders, not by all of its pairs.
+SMALL_BUCKET = 128
+#: Agreement at which a leader takes a text in; at similarity 0.5 three in 10,000 pairs reach it.
+TAKEN_IN = 48
 
 _RNG = np.random.default_rng(20240131)
-_MULT = (_RNG.integers(1, 2**63, POINTS * SKETCHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-_ADD = _RNG.integers(0, 2**63, POINTS * SKETCHES, dtype=np.uint64)
-_THIN_MULT = (_RNG.integers(1, 2**63, NIBBLES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-_THIN_ADD = _RNG.integers(0, 2**63, NIBBLES, dtype=np.uint64)
+_MULT = (_RNG.integers(1, 2**63, NIBBLES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _EACH_NIBBLE = np.uint64(0x1111111111111111)
 
 
@@ -47,12 +47,24 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _least(values: np.ndarray, starts: np.ndarray, mult, add) -> np.ndarray:
-    """One min-hash of every set; the sets lie one after another in ``values``."""
-    h = values * mult + add
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return np.minimum.reduceat(h, starts)
+#: Shingles hashed at once, so that the arrays stay in a core's cache.
+_AT_ONCE = 1 << 15
+
+
+def min_hashes(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """(min-hashes, sets); the sets lie one after another in ``values``, which are mixed hashes."""
+    out = np.empty((NIBBLES, len(starts)), np.uint64)
+    ends = np.r_[starts[1:], len(values)]
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + _AT_ONCE, side="right")))
+        own, at = values[starts[a] : ends[b - 1]], starts[a:b] - starts[a]
+        scaled = np.empty_like(own)
+        for i, m in enumerate(_MULT):
+            np.multiply(own, m, out=scaled)
+            out[i, a:b] = np.minimum.reduceat(scaled, at)
+        a = b
+    return out
 
 
 def fingerprints(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -62,10 +74,9 @@ def fingerprints(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return _mix(a ^ (b * np.uint64(0xD1342543DE82EF95))).view(np.int64)
 
 
-def table_keys(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """(sets, tables) keys: one for each line of each signature."""
-    low = [_least(values, starts, m, a) for m, a in zip(_MULT, _ADD)]
-    keys = np.empty((len(starts), len(LINES) * SKETCHES), np.uint64)
+def table_keys(low: np.ndarray) -> np.ndarray:
+    """(sets, tables) keys from the min-hashes: one for each line of each signature."""
+    keys = np.empty((low.shape[1], len(LINES) * SKETCHES), np.uint64)
     for s in range(SKETCHES):
         own = low[s * POINTS : (s + 1) * POINTS]
         for t, (a, b, c) in enumerate(LINES):
@@ -76,18 +87,18 @@ def table_keys(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return keys
 
 
-def thin_sketches(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """(sets, 2) words of 64 bits: four bits of each further min-hash."""
-    out = np.zeros((len(starts), NIBBLES // 16), np.uint64)
+def thin_sketches(low: np.ndarray) -> np.ndarray:
+    """(sets, words of 64 bits): four bits of each min-hash."""
+    out = np.zeros((low.shape[1], NIBBLES // 16), np.uint64)
     for i in range(NIBBLES):
-        out[:, i // 16] |= (_least(values, starts, _THIN_MULT[i], _THIN_ADD[i]) & np.uint64(15)) << np.uint64(4 * (i % 16))
+        out[:, i // 16] |= (_mix(low[i]) & np.uint64(15)) << np.uint64(4 * (i % 16))
     return out
 
 
 def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """In how many of their min-hashes the sketches x and y agree, row by row."""
     d = x ^ y
-    d |= d >> np.uint64(2)
+    d |= d >> np.uint64(2)  # a nibble's lowest bit becomes the or of its four
     d |= d >> np.uint64(1)
     return NIBBLES - np.bitwise_count(d & _EACH_NIBBLE).sum(axis=1, dtype=np.int64)
 
@@ -112,11 +123,15 @@ def _members(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
     return df.select(F.col(key), F.col(text)).mapInArrow(run, f"key {kind}, fp bigint")
 
 
-_ENTRY = np.dtype([("key", "<u4"), ("at", "<u4")])
+#: Rows packed together, so that a text's place in a blob takes two bytes.
+_PACKED = 50_000
+
+
+_BLOB = ("part", "ids", "sketches", "keys", "places")
 
 
 def _bucket_blobs(df: DataFrame, text: str, width: int, parts: int) -> DataFrame:
-    """(part, ids, sketches, entries): every text's table keys, packed by bucket partition.
+    """(part, ids, sketches, keys, places): every text's table keys, packed by bucket partition.
 
     A task packs each distinct text once per batch, and a blob lists a text once however many of
     its keys fall into the part, so the shuffle moves about ten bytes a key.
@@ -125,67 +140,67 @@ def _bucket_blobs(df: DataFrame, text: str, width: int, parts: int) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
-            keep, values, starts = shingle_sets(b.column(0), width)
-            if not len(keep):
-                continue
-            fps = fingerprints(values, starts)
-            _, first = np.unique(fps, return_index=True)
-            first = np.array([i for i in first if int(fps[i]) not in seen], np.int64)
-            if not len(first):
-                continue
-            if len(seen) > 2_000_000:
-                seen.clear()
-            seen.update(fps[first].tolist())
-            keys, sketch = table_keys(values, starts)[first], thin_sketches(values, starts)[first]
-            fps = fps[first]
-            flat = keys.ravel()
-            part = ((flat >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-            at = np.repeat(np.arange(len(first)), keys.shape[1])
-            order = np.argsort(part, kind="stable")
-            bounds = np.searchsorted(part[order], np.arange(parts + 1))
-            out: dict[str, list] = {"part": [], "ids": [], "sketches": [], "entries": []}
-            for p in range(parts):
-                own = order[bounds[p] : bounds[p + 1]]
-                if len(own):
-                    texts, local = np.unique(at[own], return_inverse=True)
-                    entries = np.empty(len(own), _ENTRY)
-                    entries["key"], entries["at"] = flat[own].astype(np.uint32), local
-                    out["part"].append(p)
-                    out["ids"].append(fps[texts].tobytes())
-                    out["sketches"].append(sketch[texts].tobytes())
-                    out["entries"].append(entries.tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out["part"], pa.int32()), *[pa.array(out[c], pa.binary()) for c in ("ids", "sketches", "entries")]],
-                names=list(out),
-            )
-
-    return df.select(text).mapInArrow(run, "part int, ids binary, sketches binary, entries binary")
+            for begin in range(0, b.num_rows, _PACKED):
+                keep, values, starts = shingle_sets(b.column(0).slice(begin, _PACKED), width)
+                if not len(keep):
+                    continue
+                fps = fingerprints(values, starts)
+                _, first = np.unique(fps, return_index=True)
+                first = np.array([i for i in first if int(fps[i]) not in seen], np.int64)
+                if not len(first):
+                    continue
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                fps = fps[first]
+                seen.update(fps.tolist())
+                low = min_hashes(values, starts)[:, first]
+                keys, sketch = table_keys(low), thin_sketches(low)
+                flat = keys.ravel()
+                part = ((flat >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+                at = np.repeat(np.arange(len(first)), keys.shape[1])
+                order = np.argsort(part, kind="stable")
+                bounds = np.searchsorted(part[order], np.arange(parts + 1))
+                out: dict[str, list] = {c: [] for c in _BLOB}
+                for p in range(parts):
+                    own = order[bounds[p] : bounds[p + 1]]
+                    if len(own):
+                        texts, local = np.unique(at[own], return_inverse=True)
+                        row = (p, fps[texts], sketch[texts], flat[own].astype(np.uint32), local.astype(np.uint16))
+                        for c, x in zip(_BLOB, row):
+                            out[c].append(x if c == "part" else x.tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(out[c], pa.int32() if c == "part" else pa.binary()) for c in _BLOB], names=list(_BLOB)
+                )
+
+    return df.select(text).mapInArrow(run, "part int, ids binary, sketches binary, keys binary, places binary")
 
 
 def _candidates(blobs: DataFrame, parts: int, similarity: float) -> DataFrame:
     """(run, a, b, hot): pairs of texts of one bucket whose sketches agree enough.
 
-    A bucket of at most SMALL_BUCKET texts gives its pairs. A larger one pairs its least text
-    with every other and lists its members (a = b, hot, run = the bucket), which
-    :func:`_rest_of_hot` compares as far as they aren't connected already.
+    A bucket of at most SMALL_BUCKET texts compares its pairs. In a larger one (copies of one
+    text, or texts that share their rarest runs by chance) each text not taken in yet becomes a
+    leader, meets all others, and takes in those that agree in TAKEN_IN places, which needn't
+    meet each other, as they are linked through the leader. Texts taken in by different leaders
+    are listed (a = b, hot, run = the bucket) for :func:`_rest_of_hot`, which compares those that
+    aren't connected in the end.
     """
     need = least_agreement(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[bytes, bytes, bytes]]] = {}
+        held: dict[int, list[tuple[bytes, ...]]] = {}
         for batch in batches:
-            for p, i, s, e in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                held.setdefault(p, []).append((i, s, e))
+            for p, *row in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                held.setdefault(p, []).append(tuple(row))
         for p in sorted(held):
             rows = held.pop(p)
-            sizes = [len(i) // 8 for i, _, _ in rows]
-            ids = np.concatenate([np.frombuffer(i, np.int64) for i, _, _ in rows])
-            sketches = np.concatenate([np.frombuffer(s, np.uint64).reshape(-1, NIBBLES // 16) for _, s, _ in rows])
-            entries = np.concatenate([np.frombuffer(e, _ENTRY) for _, _, e in rows])
-            base = np.repeat(np.cumsum([0, *sizes[:-1]]), [len(e) // _ENTRY.itemsize for _, _, e in rows])
+            sizes = [len(r[0]) // 8 for r in rows]
+            ids = np.concatenate([np.frombuffer(r[0], np.int64) for r in rows])
+            sketches = np.concatenate([np.frombuffer(r[1], np.uint64).reshape(-1, NIBBLES // 16) for r in rows])
+            key = np.concatenate([np.frombuffer(r[2], np.uint32) for r in rows])
+            at = np.concatenate([np.frombuffer(r[3], np.uint16) for r in rows]).astype(np.int64)
+            at += np.repeat(np.cumsum([0, *sizes[:-1]]), [len(r[2]) // 4 for r in rows])
             del rows
-            at = base + entries["at"]
-            key = entries["key"]
             order = np.lexsort((ids[at], key))
             key, at = key[order], at[order]
             new = np.ones(len(key), bool)  # equal texts of other tasks
@@ -208,17 +223,40 @@ def _candidates(blobs: DataFrame, parts: int, similarity: float) -> DataFrame:
                 else:
                     for s in of:
                         own = at[s : s + size]
-                        yield _pairs(np.full(size, (p << 32) | int(key[s])), ids[own], ids[own], True)
-                        left.append(np.full(size - 1, ids[own[0]]))
-                        right.append(ids[own[1:]])
+                        x, y, led = _by_leaders(sketches[own], need)
+                        left.append(ids[own[x]])
+                        right.append(ids[own[y]])
+                        if len(np.unique(led[led >= 0])) > 1:
+                            taken = ids[own[led >= 0]]
+                            yield _pairs(np.full(len(taken), (p << 32) | int(key[s])), taken, taken, True)
             if left:
                 a, b = np.concatenate(left), np.concatenate(right)
+                a, b = np.minimum(a, b), np.maximum(a, b)
                 both = np.unique(np.stack([a, b], 1), axis=0)
                 yield _pairs(np.zeros(len(both), np.int64), both[:, 0], both[:, 1], False)
 
     return blobs.repartition(parts, "part").mapInArrow(run, "run bigint, a bigint, b bigint, hot boolean")
 
 
+def _by_leaders(sketches: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, led): places that agree enough, and who took each text in, -1 for leaders."""
+    n = len(sketches)
+    led = np.full(n, -1)
+    left, right = [], []
+    for i in range(n):
+        if led[i] >= 0:
+            continue
+        ag = agreement(sketches[i : i + 1], sketches)
+        ok = ag >= need
+        ok[: i + 1] &= led[: i + 1] >= 0  # earlier leaders have met this one
+        found = np.flatnonzero(ok)
+        left.append(np.full(len(found), i))
+        right.append(found)
+        new = found[(found > i) & (led[found] < 0) & (ag[found] >= TAKEN_IN)]
+        led[new] = i
+    return np.concatenate(left), np.concatenate(right), led
+
+
 def _pairs(run, a, b, hot: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(run, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.full(len(a), hot))],
@@ -316,8 +354,8 @@ def near_duplicate_groups(
 def _rest_of_hot(hot: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs of a large bucket that the links so far leave apart.
 
-    The members of a large bucket are copies of one text but for chance, so nearly all are in one
-    component by now, and only the few others are still compared with it.
+    Those listed were taken in by leaders, so nearly all of a bucket are in one component by now,
+    and only the few others are still compared with it.
     """
     placed = hot.distinct().join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
     placed = placed.select("run", "fp", F.coalesce("root", "fp").alias("root"))
