@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 #: Query vectors that one pass over the corpus compares.
 QUERY_BLOCK = 4096
@@ -29,7 +31,7 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, key: str = "vec_id", ve
     shuffled. Distances are rounded to six places and ties go to the lesser key. Null and zero
     vectors match nothing.
     """
-    id_type, key_type = queries.schema["query_id"].dataType.simpleString(), corpus.schema[key].dataType.simpleString()
+    id_type, key_type = queries.schema["query_id"].dataType, corpus.schema[key].dataType.simpleString()
     wanted = queries.where(F.col(vector).isNotNull()).select("query_id", vector)
     blocks = max(1, -(-wanted.count() // QUERY_BLOCK))
     out = None
@@ -41,7 +43,8 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, key: str = "vec_id", ve
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _block(rows: list, corpus: DataFrame, k: int, key: str, id_type: str, key_type: str) -> DataFrame:
+def _block(rows: list, corpus: DataFrame, k: int, key: str, id_type: DataType, key_type: str) -> DataFrame:
+    own = to_arrow_type(id_type)
     ids = [i for i, _ in rows]
     matrix = np.array([v for _, v in rows], np.float64).reshape(len(rows), -1)
     norms = np.linalg.norm(matrix, axis=1)
@@ -70,7 +73,7 @@ def _block(rows: list, corpus: DataFrame, k: int, key: str, id_type: str, key_ty
                 d = distance[at, q]
                 ok = np.isfinite(d)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[j] for j in q[ok]]), keys.take(pa.array(by_key[at[ok]])), pa.array(d[ok])], names=["query_id", key, "distance"]
+                    [pa.array([ids[j] for j in q[ok]], own), keys.take(pa.array(by_key[at[ok]])), pa.array(d[ok])], names=["query_id", key, "distance"]
                 )
 
-    return corpus.mapInArrow(run, f"query_id {id_type}, `{key}` {key_type}, distance double")
+    return corpus.mapInArrow(run, f"query_id {id_type.simpleString()}, `{key}` {key_type}, distance double")
