@@ -28,16 +28,17 @@ def longer_copies(df: DataFrame, scratch: Scratch, key: str = "doc_id", text: st
     """
     spark = df.sparkSession
     kind = df.schema[key].dataType.simpleString()
-    body = F.regexp_replace(text, r"(?:\s|…|\.{3,}|\x{FFFD}|\x{200B})+$", "")
+    # Cutting single characters from the end, full stops among them, is cheap and changes no relation.
+    body = F.rtrim(F.col(text), F.lit(" \t\r\n.\u2026\ufffd\u200b"))
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), body.alias("body")).where(F.length("body") >= chars)
-    heads = rows.select(F.xxhash64(F.substring("body", 1, chars)).alias("head"), F.xxhash64("body").alias("whole"))
+    hashed = scratch.table(rows.select("key", F.xxhash64(F.substring("body", 1, chars)).alias("head"), F.xxhash64("body").alias("whole")))
     shared = (
-        heads.groupBy("head").agg(F.min("whole").alias("lo"), F.max("whole").alias("hi")).where("lo <> hi").select("head")
+        hashed.groupBy("head").agg(F.min("whole").alias("lo"), F.max("whole").alias("hi")).where("lo <> hi").select("head")
     )
-    texts = rows.withColumn("head", F.xxhash64(F.substring("body", 1, chars))).join(shared, "head", "left_semi")
-    some = scratch.table(texts.select(F.xxhash64("body").alias("whole"), "body").dropDuplicates(["whole"]))
+    near = scratch.table(hashed.join(shared, "head", "left_semi").groupBy("whole").agg(F.min("key").alias("key")))
+    some = scratch.table(rows.join(near.select("key"), "key", "left_semi").select(F.xxhash64("body").alias("whole"), "body").dropDuplicates(["whole"]))
     if some.isEmpty():
-        return rows.select("key", F.lit(None).cast("string").alias("next_char")).limit(0).toDF(key, "next_char")
+        return hashed.select("key", F.lit(None).cast("string").alias("next_char")).limit(0).toDF(key, "next_char")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     names = ["whole", "next_char", "edge", "body"]
 
@@ -70,7 +71,7 @@ def longer_copies(df: DataFrame, scratch: Scratch, key: str = "doc_id", text: st
         .agg(F.min(F.substring(F.col("longer"), F.length("body") + 1, F.lit(1))).alias("next_char"))
     )
     cut = inside.unionByName(across).dropDuplicates(["whole"])
-    return rows.withColumn("whole", F.xxhash64("body")).join(cut, "whole").select(F.col("key").alias(key), "next_char").dropDuplicates([key])
+    return hashed.join(cut, "whole").select(F.col("key").alias(key), "next_char").dropDuplicates([key])
 
 
 def truncated(df: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -97,7 +98,7 @@ def truncated(df: DataFrame, scratch: Scratch, key: str = "doc_id", text: str =
     rows = df.select(key, source, text).where(F.col(key).isNotNull() & F.col(text).isNotNull())
     broken = rows.mapInArrow(run, f"`{key}` {kinds[0]}, `{source}` {kinds[1]}, how string")
     cut = longer_copies(rows, scratch, key, text).where(F.col("next_char").rlike(r"^[\p{Ll}\p{N}]$"))
-    copies = rows.join(cut, key).select(key, source, F.lit("prefix").alias("how"))
+    copies = df.select(key, source).join(cut, key).select(key, source, F.lit("prefix").alias("how"))
     return broken.unionByName(copies).groupBy(key).agg(F.min(source).alias(source), F.max("how").alias("how"))
 
 
