@@ -28,6 +28,32 @@ from .words import shingle_sets
 SKETCHES = 3
 POINTS = 15
 LINES = [(a - 1, b - 1, (a ^ b) - 1) for a in range(1, 16) for b in range(a + 1, 16) if a ^ b > b]
+
+
+def _routes() -> list[tuple[int, int, list[tuple[int, int, int]]]]:
+    """(signature, point, five lines through it): every line once for each signature.
+
+    Every line meets the plane of the points 1 to 7 in one or in all three of its points, so seven
+    points reach all lines; each of the plane's own seven lines is given to a point of its own.
+    """
+    through: dict[int, list] = {h: [line for line in LINES if h in line and sum(x < 7 for x in line) == 1] for h in range(7)}
+    inner = [line for line in LINES if all(x < 7 for x in line)]
+
+    def match(i: int, used: tuple[int, ...]) -> tuple[int, ...] | None:
+        if i == len(inner):
+            return used
+        for h in inner[i]:
+            if h not in used and (rest := match(i + 1, (*used, h))):
+                return rest
+        return None
+
+    for line, h in zip(inner, match(0, ())):
+        through[h].append(line)
+    return [(s, h, through[h]) for s in range(SKETCHES) for h in range(7)]
+
+
+ROUTES = _routes()
+EACH = len(ROUTES[0][2])
 #: Min-hashes cut to four bits that thin out chance collisions before verification; the first are
 #: those of the signatures.
 NIBBLES = 64
@@ -74,17 +100,18 @@ def fingerprints(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return _mix(a ^ (b * np.uint64(0xD1342543DE82EF95))).view(np.int64)
 
 
-def table_keys(low: np.ndarray) -> np.ndarray:
-    """(sets, tables) keys from the min-hashes: one for each line of each signature."""
-    keys = np.empty((low.shape[1], len(LINES) * SKETCHES), np.uint64)
-    for s in range(SKETCHES):
+def table_keys(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the min-hashes: (routes, sets) hashes that route, and (routes, sets, EACH) keys of lines."""
+    send = np.empty((len(ROUTES), low.shape[1]), np.uint64)
+    keys = np.empty((len(ROUTES), low.shape[1], EACH), np.uint32)
+    for r, (s, h, lines) in enumerate(ROUTES):
         own = low[s * POINTS : (s + 1) * POINTS]
-        for t, (a, b, c) in enumerate(LINES):
-            k = s * len(LINES) + t
-            x = _mix(own[a] + np.uint64(0x632BE59BD9B4E019 + 2 * k))
+        send[r] = _mix(own[h] + np.uint64(0x632BE59BD9B4E019 + 2 * r))
+        for j, (a, b, c) in enumerate(lines):
+            x = _mix(own[a] + np.uint64(0x2545F4914F6CDD1D + 2 * (r * EACH + j)))
             x = _mix(x ^ own[b])
-            keys[:, k] = _mix(x + own[c])
-    return keys
+            keys[r, :, j] = (_mix(x + own[c]) >> np.uint64(32)).astype(np.uint32)
+    return send, keys
 
 
 def thin_sketches(low: np.ndarray) -> np.ndarray:
@@ -123,56 +150,51 @@ def _members(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
     return df.select(F.col(key), F.col(text)).mapInArrow(run, f"key {kind}, fp bigint")
 
 
-#: Rows packed together, so that a text's place in a blob takes two bytes.
-_PACKED = 50_000
-
-
-_BLOB = ("part", "ids", "sketches", "keys", "places")
+_BLOB = ("part", "ids", "sketches", "routes", "keys")
 
 
 def _bucket_blobs(df: DataFrame, text: str, width: int, parts: int) -> DataFrame:
-    """(part, ids, sketches, keys, places): every text's table keys, packed by bucket partition.
+    """(part, ids, sketches, routes, keys): the rows of every text, packed by bucket partition.
 
-    A task packs each distinct text once per batch, and a blob lists a text once however many of
-    its keys fall into the part, so the shuffle moves about ten bytes a key.
+    A task packs each distinct text once; a row takes 61 bytes and a text has 21, whatever the
+    number of partitions.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
-            for begin in range(0, b.num_rows, _PACKED):
-                keep, values, starts = shingle_sets(b.column(0).slice(begin, _PACKED), width)
-                if not len(keep):
-                    continue
-                fps = fingerprints(values, starts)
-                _, first = np.unique(fps, return_index=True)
-                first = np.array([i for i in first if int(fps[i]) not in seen], np.int64)
-                if not len(first):
-                    continue
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                fps = fps[first]
-                seen.update(fps.tolist())
-                low = min_hashes(values, starts)[:, first]
-                keys, sketch = table_keys(low), thin_sketches(low)
-                flat = keys.ravel()
-                part = ((flat >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-                at = np.repeat(np.arange(len(first)), keys.shape[1])
-                order = np.argsort(part, kind="stable")
-                bounds = np.searchsorted(part[order], np.arange(parts + 1))
-                out: dict[str, list] = {c: [] for c in _BLOB}
-                for p in range(parts):
-                    own = order[bounds[p] : bounds[p + 1]]
-                    if len(own):
-                        texts, local = np.unique(at[own], return_inverse=True)
-                        row = (p, fps[texts], sketch[texts], flat[own].astype(np.uint32), local.astype(np.uint16))
-                        for c, x in zip(_BLOB, row):
-                            out[c].append(x if c == "part" else x.tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[c], pa.int32() if c == "part" else pa.binary()) for c in _BLOB], names=list(_BLOB)
-                )
-
-    return df.select(text).mapInArrow(run, "part int, ids binary, sketches binary, keys binary, places binary")
+            keep, values, starts = shingle_sets(b.column(0), width)
+            if not len(keep):
+                continue
+            fps = fingerprints(values, starts)
+            _, first = np.unique(fps, return_index=True)
+            first = np.array([i for i in first if int(fps[i]) not in seen], np.int64)
+            if not len(first):
+                continue
+            if len(seen) > 1_000_000:
+                seen.clear()
+            fps = fps[first]
+            seen.update(fps.tolist())
+            low = min_hashes(values, starts)[:, first]
+            (send, keys), sketch = table_keys(low), thin_sketches(low)
+            part = (send % np.uint64(parts)).astype(np.int64).ravel()
+            order = np.argsort(part, kind="stable")
+            bounds = np.searchsorted(part[order], np.arange(parts + 1))
+            keys = keys.reshape(-1, EACH)
+            out: dict[str, list] = {c: [] for c in _BLOB}
+            for p in range(parts):
+                own = order[bounds[p] : bounds[p + 1]]
+                if len(own):
+                    at = own % len(first)
+                    row = (fps[at], sketch[at], (own // len(first)).astype(np.uint8), keys[own])
+                    out["part"].append(p)
+                    for c, x in zip(_BLOB[1:], row):
+                        out[c].append(x.tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out[c], pa.int32() if c == "part" else pa.binary()) for c in _BLOB], names=list(_BLOB)
+            )
+
+    return df.select(text).mapInArrow(run, "part int, ids binary, sketches binary, routes binary, keys binary")
 
 
 def _candidates(blobs: DataFrame, parts: int, similarity: float) -> DataFrame:
@@ -194,13 +216,13 @@ def _candidates(blobs: DataFrame, parts: int, similarity: float) -> DataFrame:
                 held.setdefault(p, []).append(tuple(row))
         for p in sorted(held):
             rows = held.pop(p)
-            sizes = [len(r[0]) // 8 for r in rows]
             ids = np.concatenate([np.frombuffer(r[0], np.int64) for r in rows])
             sketches = np.concatenate([np.frombuffer(r[1], np.uint64).reshape(-1, NIBBLES // 16) for r in rows])
-            key = np.concatenate([np.frombuffer(r[2], np.uint32) for r in rows])
-            at = np.concatenate([np.frombuffer(r[3], np.uint16) for r in rows]).astype(np.int64)
-            at += np.repeat(np.cumsum([0, *sizes[:-1]]), [len(r[2]) // 4 for r in rows])
-            del rows
+            route = np.concatenate([np.frombuffer(r[2], np.uint8) for r in rows]).astype(np.int64)
+            key = np.concatenate([np.frombuffer(r[3], np.uint32).reshape(-1, EACH) for r in rows]).astype(np.int64)
+            key = (((route * EACH)[:, None] + np.arange(EACH)) << 32 | key).ravel()
+            at = np.repeat(np.arange(len(ids)), EACH)
+            del rows, route
             order = np.lexsort((ids[at], key))
             key, at = key[order], at[order]
             new = np.ones(len(key), bool)  # equal texts of other tasks
@@ -228,14 +250,14 @@ def _candidates(blobs: DataFrame, parts: int, similarity: float) -> DataFrame:
                         right.append(ids[own[y]])
                         if len(np.unique(led[led >= 0])) > 1:
                             taken = ids[own[led >= 0]]
-                            yield _pairs(np.full(len(taken), (p << 32) | int(key[s])), taken, taken, True)
+                            yield _pairs(np.full(len(taken), key[s]), taken, taken, True)
             if left:
                 a, b = np.concatenate(left), np.concatenate(right)
                 a, b = np.minimum(a, b), np.maximum(a, b)
                 both = np.unique(np.stack([a, b], 1), axis=0)
                 yield _pairs(np.zeros(len(both), np.int64), both[:, 0], both[:, 1], False)
 
-    return blobs.repartition(parts, "part").mapInArrow(run, "run bigint, a bigint, b bigint, hot boolean")
+    return blobs.repartitionById(parts, F.col("part")).mapInArrow(run, "run bigint, a bigint, b bigint, hot boolean")
 
 
 def _by_leaders(sketches: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

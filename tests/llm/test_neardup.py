@@ -96,6 +96,13 @@ def test_lines_cover_the_radius():
         assert any(line & mask == line for line in lines)
 
 
+def test_routes_hold_every_line_once():
+    for signature in range(neardup.SKETCHES):
+        lines = [line for s, h, own in neardup.ROUTES if s == signature for line in own]
+        assert sorted(lines) == sorted(neardup.LINES)
+    assert all(h in line for _, h, own in neardup.ROUTES for line in own)
+
+
 def test_leaders_meet_all():
     import numpy as np
 
