@@ -54,7 +54,7 @@ def _line_is_whole(line: str, first: bool) -> bool:
         return True  # a question and its explanation, as a title
     if inside:
         return False
-    if len(words) <= 3 and not re.search(r"[぀-ヿ一-鿿]", bare):
+    if first and len(words) <= 3 and not re.search(r"[぀-ヿ一-鿿]", bare):
         return True
     return first and is_title(words)
 
