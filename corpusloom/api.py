@@ -12,6 +12,7 @@ from . import __version__, models
 from .config import SETTINGS, Settings
 from .functions.text import strip_thinking
 from .operators import bm25, hybrid, rag
+from .runtime import Scratch
 
 
 class InvalidRequest(ValueError):
@@ -39,14 +40,13 @@ class Engine:
     """Search over one corpus.
 
     ``corpus`` has doc, text, arxiv_id, section and title, ``vectors`` doc and embedding. Tables of
-    the index are cached on first use.
+    the index are written to the shared folder when the engine is made.
     """
 
     def __init__(self, spark: SparkSession, corpus: DataFrame, vectors: DataFrame, embedder: models.Embedder, generator: models.Generator, settings: Settings = SETTINGS):
         self.spark, self.corpus, self.vectors = spark, corpus, vectors
         self.embedder, self.generator, self.settings = embedder, generator, settings
-        built = bm25.build_index(corpus, "doc", "text")
-        self.index = bm25.Index(built.lengths.cache(), built.postings.cache(), built.terms.cache())
+        self.index = bm25.build_index(corpus, "doc", "text", Scratch(spark, "index"))
 
     def search(self, questions: list[str], top_k: int | None = None, **how) -> DataFrame:
         k = top_k or self.settings.top_k

@@ -20,7 +20,8 @@ def words(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(words(text))
+    """Number of white-space separated words, 0 for null; counted without making an array."""
+    return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACE}]+")), F.lit(0))
 
 
 def clean_text(text: Column) -> Column:
@@ -101,9 +102,9 @@ def is_citation(text: Column) -> Column:
 
 def is_quality(text: Column, min_words: int = 30, min_alpha: float = 0.6) -> Column:
     """Enough words, enough of them with a letter, and no list of references."""
-    w = words(text)
-    alpha = F.size(F.filter(w, lambda x: x.rlike(r"\p{L}")))
-    return (F.size(w) >= min_words) & (alpha >= min_alpha * F.size(w)) & ~is_citation(text)
+    n = word_count(text)
+    alpha = F.regexp_count(text, F.lit(rf"[^{SPACE}]*\p{{L}}[^{SPACE}]*"))
+    return (n >= min_words) & (alpha >= min_alpha * n) & ~is_citation(text)
 
 
 def lexical_tokens(text: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import lexical_tokens
+from ..runtime import Scratch, spread
 
 
 @dataclass(frozen=True)
@@ -17,17 +18,24 @@ class Index:
     terms: DataFrame  # term, df, idf
 
 
-def build_index(corpus: DataFrame, key: str, text: str, epsilon: float = 0.25) -> Index:
+def build_index(corpus: DataFrame, key: str, text: str, scratch: Scratch, epsilon: float = 0.25) -> Index:
     """Statistics over all rows with a text. ``key`` must be unique.
 
     A term's idf is ln(N - df + 0.5) - ln(df + 0.5); negative ones are replaced by ``epsilon``
-    times the mean over the vocabulary. N and the mean are scalar subqueries, not joins.
+    times the mean over the vocabulary. N and the mean are scalar subqueries, not joins. The texts
+    are read once: postings are counted within a document before any shuffle and stored with the
+    document's length, as are the term statistics.
     """
-    tokens = corpus.where(F.col(text).isNotNull()).select(F.col(key).alias("doc"), lexical_tokens(F.col(text)).alias("t"))
-    lengths = tokens.select("doc", F.size("t").alias("dl"))
-    postings = tokens.select("doc", F.explode("t").alias("term")).groupBy("term", "doc").agg(F.count("*").alias("tf"))
+    tokens = spread(corpus.where(F.col(text).isNotNull()).select(F.col(key).alias("doc"), F.col(text).alias("_t")))
+    tokens = tokens.select("doc", lexical_tokens(F.col("_t")).alias("t"))
+    stored = scratch.table(tokens.select("doc", F.size("t").alias("dl"), F.array_join("t", " ").alias("joined")))
+    lengths = stored.select("doc", "dl")
+    postings = scratch.table(
+        stored.select("doc", F.explode(F.split("joined", " ")).alias("term")).where("term <> ''").groupBy("doc", "term").agg(F.count("*").alias("tf"))
+    ).select("term", "doc", "tf")
     n = lengths.agg(F.count("*")).scalar()
     raw = postings.groupBy("term").agg(F.count("*").alias("df")).withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    raw = scratch.table(raw)
     mean = raw.agg(F.avg("raw")).scalar()
     terms = raw.select("term", "df", F.when(F.col("raw") < 0, mean * epsilon).otherwise(F.col("raw")).alias("idf"))
     return Index(lengths, postings, terms)

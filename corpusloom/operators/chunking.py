@@ -7,26 +7,32 @@ from pyspark.sql import functions as F
 
 from ..config import EXCLUDED_SECTIONS, SETTINGS, Settings
 from ..functions.text import clean_chunk_text, is_quality, strip_references, word_count, words
+from ..runtime import spread
 
 
-def window_array(text: Column, size: int = 450, overlap: int = 64, min_words: int = 10) -> Column:
-    """array<struct<start, text, n_words>> of the windows of a text, in order.
+def windows(df: DataFrame, keys: list[str], text: str, size: int = 450, overlap: int = 64, min_words: int = 10) -> DataFrame:
+    """(keys, idx, total, start, text, n_words): the windows of each text, in order.
 
     A text of at most ``size`` words is its own single window, as it is. Else a window starts
     every ``size - overlap`` words, the tail included, and those under ``min_words`` are dropped.
+    ``idx`` and ``total`` count the windows that are left. The words are split once a text.
     """
-    w = words(text)
-    n = F.size(w)
-    whole = F.struct(F.lit(0).alias("start"), text.alias("text"), n.alias("n_words"))
     stride = size - overlap
+    split = df.select(*keys, F.col(text).alias("_t"), word_count(F.col(text)).alias("_n"))
+    split = split.select(*keys, "_t", "_n", F.when(F.col("_n") > size, words(F.col("_t"))).alias("_w"))
+    whole = F.struct(F.lit(0).alias("start"), F.col("_t").alias("text"), F.col("_n").alias("n_words"))
 
     def cut(i: Column) -> Column:
-        part = F.slice(w, i * stride + 1, F.lit(size))
-        return F.struct((i * stride).cast("int").alias("start"), F.array_join(part, " ").alias("text"), F.size(part).alias("n_words"))
+        part = F.slice(F.col("_w"), i * stride + 1, F.lit(size))
+        n = F.least(F.lit(size), F.col("_n") - i * stride)
+        return F.struct((i * stride).cast("int").alias("start"), F.array_join(part, " ").alias("text"), n.cast("int").alias("n_words"))
 
-    steps = F.sequence(F.lit(0), F.floor((F.greatest(n, F.lit(1)) - 1) / stride).cast("int"))
-    many = F.filter(F.transform(steps, cut), lambda x: x["n_words"] >= min_words)
-    return F.when(n <= size, F.array(whole)).otherwise(many)
+    steps = F.sequence(F.lit(0), F.floor((F.greatest("_n", F.lit(1)) - 1) / stride).cast("int"))
+    kept = F.filter(steps, lambda i: F.col("_n") - i * stride >= min_words)
+    many = F.transform(kept, cut)
+    made = split.select(*keys, F.when(F.col("_n") <= size, F.array(whole)).otherwise(many).alias("_x"))
+    rows = made.select(*keys, F.size("_x").alias("total"), F.posexplode("_x").alias("idx", "_y"))
+    return rows.select(*keys, "idx", "total", F.col("_y.start").alias("start"), F.col("_y.text").alias("text"), F.col("_y.n_words").alias("n_words"))
 
 
 def chunk_id(paper: Column, section: Column, index: Column) -> Column:
@@ -53,21 +59,18 @@ def chunk_sections(sections: DataFrame, settings: Settings = SETTINGS) -> DataFr
     Sections are cleaned, short ones dropped, cut into windows, and windows of low quality left
     out; indexes and totals count the windows before that, so they have gaps.
     """
-    cleaned = sections.select("arxiv_id", "section", clean_chunk_text(F.col("body")).alias("body"))
+    cleaned = spread(sections).select("arxiv_id", "section", clean_chunk_text(F.col("body")).alias("body"))
     kept = cleaned.where(word_count(F.col("body")) >= settings.min_section_words)
-    windows = window_array(F.col("body"), settings.chunk_size, settings.chunk_overlap, settings.min_window_words)
-    cut = kept.select("arxiv_id", "section", windows.alias("w")).select(
-        "arxiv_id", "section", F.size("w").alias("total_in_section"), F.posexplode("w").alias("chunk_index", "x")
-    )
-    good = cut.where(is_quality(F.col("x.text"), settings.min_chunk_words, settings.min_alpha_share))
+    cut = windows(kept, ["arxiv_id", "section"], "body", settings.chunk_size, settings.chunk_overlap, settings.min_window_words)
+    good = cut.where(is_quality(F.col("text"), settings.min_chunk_words, settings.min_alpha_share))
     return good.select(
         "arxiv_id",
         "section",
-        "chunk_index",
-        "total_in_section",
-        chunk_id(F.col("arxiv_id"), F.col("section"), F.col("chunk_index")).alias("chunk_id"),
-        F.col("x.text").alias("text"),
-        F.col("x.n_words").alias("n_words"),
+        F.col("idx").alias("chunk_index"),
+        F.col("total").alias("total_in_section"),
+        chunk_id(F.col("arxiv_id"), F.col("section"), F.col("idx")).alias("chunk_id"),
+        "text",
+        "n_words",
     )
 
 

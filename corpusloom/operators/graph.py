@@ -25,10 +25,9 @@ def _voronoi(adj: DataFrame, scratch: Scratch) -> DataFrame:
         .agg(F.min(_rank(F.col("v"))).alias("low"))
         .select("u", (_rank(F.col("u")) < F.col("low")).alias("seed"))
     )
-    state = scratch.table(seeds)
-    nodes = state.count()
-    labels = [scratch.table(state.where("seed").select(F.col("u").alias("node"), F.col("u").alias("label")))]
-    reached = labels[0].count()
+    state, nodes = scratch.counted(seeds)
+    first, reached = scratch.counted(state.where("seed").select(F.col("u").alias("node"), F.col("u").alias("label")))
+    labels = [first]
     frontier = labels[0]
     while reached < nodes:
         known = labels[0]
@@ -41,8 +40,7 @@ def _voronoi(adj: DataFrame, scratch: Scratch) -> DataFrame:
             .select(F.col("v").alias("node"), F.col("best.n").alias("label"))
             .join(known.select("node"), "node", "left_anti")
         )
-        frontier = scratch.table(step)
-        grown = frontier.count()
+        frontier, grown = scratch.counted(step)
         if not grown:
             raise RuntimeError("a node of the graph can't be reached from any seed")
         reached += grown
@@ -78,16 +76,16 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         .unionByName(pairs.select(F.col(b).alias("u"), F.col(a).alias("v")))
         .distinct()
     )
-    adj = scratch.table(both)
+    adj, left = scratch.counted(both)
     mapping = None
-    while not adj.isEmpty():
+    while left:
         labels = scratch.table(_voronoi(adj, scratch))
         here = labels.select(F.col("node").alias("u"), F.col("label").alias("lu"))
         there = labels.select(F.col("node").alias("v"), F.col("label").alias("lv"))
         touching = (
             adj.join(here, "u").join(there, "v").where("lu <> lv").select(F.col("lu").alias("u"), F.col("lv").alias("v")).distinct()
         )
-        smaller = scratch.table(touching)
+        smaller, left = scratch.counted(touching)
         scratch.drop(adj)
         adj = smaller
         if mapping is None:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import EXCLUDED_SECTIONS
 from ..functions.text import SPACE, WORD_CHAR, strip
+from ..runtime import spread
 
 #: The canonical sections, the stems of their headings, whether a stem must be the
 #: whole word in the bold form, and how many stems the hash form knows.
@@ -45,33 +46,34 @@ def heading_patterns() -> dict[str, list[str]]:
     return out
 
 
-def section_array(text: Column, min_chars: int = 50) -> Column:
-    """array<struct<name, body>> in the order of the text.
+def _marks(text: Column) -> Column:
+    """array<struct<pos, name>>: where each section that occurs starts, in order of position."""
+    starts = []
+    for name, patterns in heading_patterns().items():
+        places = F.array(*[F.regexp_instr(text, F.lit(f"(?md)^{p}")) for p in patterns])
+        starts.append(F.struct(F.get(F.filter(places, lambda x: x > 0), F.lit(0)).alias("pos"), F.lit(name).alias("name")))
+    return F.array_sort(F.filter(F.array(*starts), lambda s: s["pos"].isNotNull()))
+
+
+def split_sections(df: DataFrame, key: str = "arxiv_id", text: str = "full_text", min_chars: int = 50) -> DataFrame:
+    """(key, pos, section, body) of every row with a text, in the order of the text.
 
     A section starts at the first match of the first of its patterns that matches anywhere; its
     body reaches to the next start and holds the heading. Bodies of at most ``min_chars`` are
     dropped, and text before the first heading belongs to none. Without any heading, or with only
     reference-like sections left, the whole text is one section, ``full_text``.
+
+    Each step is a projection of its own, so that no pattern is matched again for every section.
     """
-    starts = []
-    for name, patterns in heading_patterns().items():
-        at = F.lit(0)
-        for p in reversed(patterns):
-            here = F.regexp_instr(text, F.lit(f"(?md)^{p}"))
-            at = F.when(here > 0, here).otherwise(at)
-        starts.append(F.struct(at.alias("pos"), F.lit(name).alias("name")))
-    found = F.array_sort(F.filter(F.array(*starts), lambda s: s["pos"] > 0))
+    rows = spread(df.where(F.col(text).isNotNull()).select(key, F.col(text).alias("_t")))
+    marked = rows.select(key, "_t", _marks(F.col("_t")).alias("_m"))
 
     def body(s: Column, i: Column) -> Column:
-        end = F.coalesce(F.get(found, i + 1)["pos"], F.length(text) + 1)
-        return F.struct(s["name"].alias("name"), strip(F.substring(text, s["pos"], end - s["pos"])).alias("body"))
-
-    long = F.filter(F.transform(found, body), lambda s: F.length(s["body"]) > min_chars)
-    content = F.exists(long, lambda s: ~s["name"].isin(*EXCLUDED_SECTIONS))
-    return F.when(content, long).otherwise(F.array(F.struct(F.lit("full_text").alias("name"), text.alias("body"))))
-
+        end = F.coalesce(F.get(F.col("_m"), i + 1)["pos"], F.length("_t") + 1)
+        return F.struct(s["name"].alias("name"), strip(F.substring(F.col("_t"), s["pos"], end - s["pos"])).alias("body"))
 
-def split_sections(df: DataFrame, key: str = "arxiv_id", text: str = "full_text") -> DataFrame:
-    """(key, pos, section, body) of every row with a text."""
-    rows = df.where(F.col(text).isNotNull()).select(key, section_array(F.col(text)).alias("s"))
-    return rows.select(key, F.posexplode("s").alias("pos", "x")).select(key, "pos", F.col("x.name").alias("section"), F.col("x.body").alias("body"))
+    cut = marked.select(key, "_t", F.filter(F.transform("_m", body), lambda s: F.length(s["body"]) > min_chars).alias("_s"))
+    content = F.exists("_s", lambda s: ~s["name"].isin(*EXCLUDED_SECTIONS))
+    whole = F.array(F.struct(F.lit("full_text").alias("name"), F.col("_t").alias("body")))
+    chosen = cut.select(key, F.posexplode(F.when(content, F.col("_s")).otherwise(whole)).alias("pos", "x"))
+    return chosen.select(key, "pos", F.col("x.name").alias("section"), F.col("x.body").alias("body"))

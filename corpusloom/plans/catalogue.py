@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import models
 from ..functions import text as T
 from ..operators import bm25, chunking, evaluate, hybrid, ingest, qa, rag, sections, vector
-from ..runtime import read_table
+from ..runtime import Scratch, read_table
 from .oracle import ORACLE as ORACLE
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,7 +57,7 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, d: str) -> bm25.Index:
-    return bm25.build_index(_corpus(spark, d), "doc", "text")
+    return bm25.build_index(_corpus(spark, d), "doc", "text", Scratch(spark, "bm25"))
 
 
 def _digest(c: str) -> list:
@@ -158,8 +158,8 @@ def content_sections(spark, d):
 @query
 def chunk_windows(spark, d):
     docs = read_table(spark, d, "documents").where("text is not null")
-    rows = docs.select("doc_id", F.posexplode(chunking.window_array(F.col("text"))).alias("idx", "w"))
-    return rows.select("doc_id", "idx", F.col("w.start").alias("start_word"), F.col("w.n_words").alias("n_words"), F.md5("w.text").alias("digest"))
+    rows = chunking.windows(docs, ["doc_id"], "text")
+    return rows.select("doc_id", "idx", F.col("start").alias("start_word"), "n_words", F.md5("text").alias("digest"))
 
 
 @query

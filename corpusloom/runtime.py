@@ -7,7 +7,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _OWN_DIR: dict[str, str] = {}
 
@@ -44,6 +45,12 @@ class Scratch:
         self._paths: dict[int, str] = {}
         atexit.register(_delete_quietly, spark, self.root)
 
+    def counted(self, df: DataFrame) -> tuple[DataFrame, int]:
+        """The written table and its number of rows, counted while writing."""
+        seen = Observation()
+        read = self.table(df.observe(seen, F.count(F.lit(1)).alias("n")))
+        return read, seen.get["n"]
+
     def table(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{self._count}"
         self._count += 1
@@ -78,5 +85,15 @@ def _delete_quietly(spark: SparkSession, path: str) -> None:
             shutil.rmtree(local, ignore_errors=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The frame in at least as many partitions as there are cores, for work that needs them.
+
+    A large table has more partitions anyway and is left as it is; a small one, in a single file or
+    joined together after a shuffle, would keep one core busy only.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

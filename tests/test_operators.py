@@ -20,7 +20,7 @@ def test_batch_numbers(spark):
 
 def windows(spark, n):
     df = spark.createDataFrame([(" ".join(f"w{i}" for i in range(n)),)], "t string")
-    return [(x["start"], x["n_words"]) for x in df.select(chunking.window_array(F.col("t")).alias("w")).first()["w"]]
+    return [(x["start"], x["n_words"]) for x in chunking.windows(df, [], "t").orderBy("idx").collect()]
 
 
 def test_windows(spark):
