@@ -18,7 +18,7 @@ def windows(df: DataFrame, keys: list[str], text: str, size: int = 450, overlap:
     ``idx`` and ``total`` count the windows that are left. The words are split once a text.
     """
     stride = size - overlap
-    split = df.select(*keys, F.col(text).alias("_t"), word_count(F.col(text)).alias("_n"))
+    split = spread(df.select(*keys, F.col(text).alias("_t"))).select(*keys, "_t", word_count(F.col("_t")).alias("_n"))
     split = split.select(*keys, "_t", "_n", F.when(F.col("_n") > size, words(F.col("_t"))).alias("_w"))
     whole = F.struct(F.lit(0).alias("start"), F.col("_t").alias("text"), F.col("_n").alias("n_words"))
 
@@ -27,11 +27,13 @@ def windows(df: DataFrame, keys: list[str], text: str, size: int = 450, overlap:
         n = F.least(F.lit(size), F.col("_n") - i * stride)
         return F.struct((i * stride).cast("int").alias("start"), F.array_join(part, " ").alias("text"), n.cast("int").alias("n_words"))
 
-    steps = F.sequence(F.lit(0), F.floor((F.greatest("_n", F.lit(1)) - 1) / stride).cast("int"))
+    # The words are named a second time, outside the lambda, lest their projection be folded into it.
+    steps = F.sequence(F.lit(0), F.floor((F.size("_w") - 1) / stride).cast("int"))
     kept = F.filter(steps, lambda i: F.col("_n") - i * stride >= min_words)
     many = F.transform(kept, cut)
     made = split.select(*keys, F.when(F.col("_n") <= size, F.array(whole)).otherwise(many).alias("_x"))
-    rows = made.select(*keys, F.size("_x").alias("total"), F.posexplode("_x").alias("idx", "_y"))
+    # An outer explode, as a plain one has all of the above computed again in a filter for empty arrays.
+    rows = made.select(*keys, F.size("_x").alias("total"), F.posexplode_outer("_x").alias("idx", "_y")).where("idx is not null")
     return rows.select(*keys, "idx", "total", F.col("_y.start").alias("start"), F.col("_y.text").alias("text"), F.col("_y.n_words").alias("n_words"))
 
 
@@ -47,7 +49,7 @@ def content_sections(parsed: DataFrame) -> DataFrame:
     """
     bare = F.col("sections").isNull() | (F.size("sections") == 0) | F.map_contains_key("sections", "full_text")
     text = F.array(F.struct(F.lit("full_text").alias("key"), strip_references(F.coalesce("full_text", F.lit(""))).alias("value")))
-    rows = parsed.select("arxiv_id", F.explode(F.when(bare, text).otherwise(F.map_entries("sections"))).alias("s"))
+    rows = parsed.select("arxiv_id", F.explode_outer(F.when(bare, text).otherwise(F.map_entries("sections"))).alias("s"))
     return rows.select("arxiv_id", F.col("s.key").alias("section"), F.col("s.value").alias("body")).where(
         ~F.lower("section").isin(*EXCLUDED_SECTIONS) & (F.coalesce("body", F.lit("")) != "")
     )
@@ -59,7 +61,9 @@ def chunk_sections(sections: DataFrame, settings: Settings = SETTINGS) -> DataFr
     Sections are cleaned, short ones dropped, cut into windows, and windows of low quality left
     out; indexes and totals count the windows before that, so they have gaps.
     """
-    cleaned = spread(sections).select("arxiv_id", "section", clean_chunk_text(F.col("body")).alias("body"))
+    # Out of a generator, as a filter on a projection is pushed below it and cleans every text twice.
+    once = F.explode_outer(F.array(clean_chunk_text(F.col("body"))))
+    cleaned = spread(sections).select("arxiv_id", "section", once.alias("body"))
     kept = cleaned.where(word_count(F.col("body")) >= settings.min_section_words)
     cut = windows(kept, ["arxiv_id", "section"], "body", settings.chunk_size, settings.chunk_overlap, settings.min_window_words)
     good = cut.where(is_quality(F.col("text"), settings.min_chunk_words, settings.min_alpha_share))

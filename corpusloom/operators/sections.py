@@ -75,5 +75,6 @@ def split_sections(df: DataFrame, key: str = "arxiv_id", text: str = "full_text"
     cut = marked.select(key, "_t", F.filter(F.transform("_m", body), lambda s: F.length(s["body"]) > min_chars).alias("_s"))
     content = F.exists("_s", lambda s: ~s["name"].isin(*EXCLUDED_SECTIONS))
     whole = F.array(F.struct(F.lit("full_text").alias("name"), F.col("_t").alias("body")))
-    chosen = cut.select(key, F.posexplode(F.when(content, F.col("_s")).otherwise(whole)).alias("pos", "x"))
+    # An outer explode, as a plain one has all of the above computed again in a filter for empty arrays.
+    chosen = cut.select(key, F.posexplode_outer(F.when(content, F.col("_s")).otherwise(whole)).alias("pos", "x"))
     return chosen.select(key, "pos", F.col("x.name").alias("section"), F.col("x.body").alias("body"))

@@ -88,9 +88,13 @@ def _delete_quietly(spark: SparkSession, path: str) -> None:
 def spread(df: DataFrame) -> DataFrame:
     """The frame in at least as many partitions as there are cores, for work that needs them.
 
-    A large table has more partitions anyway and is left as it is; a small one, in a single file or
-    joined together after a shuffle, would keep one core busy only.
+    A large table has more partitions anyway and is left as it is; a small one in a single file
+    would keep one core busy only. Only frames that come straight from a scan are looked at: the
+    partitions of others are known when they run, and are chosen by adaptive execution.
     """
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    if any(node in plan for node in ("Aggregate", "Join", "Window", "Exchange", "Sort", "Arrow", "Pandas", "Union")):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
