@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from ..runtime import spread
+
 #: Folder of the public vocabularies; a parameter of every operator that needs one.
 TOKENIZER_DIR = os.environ.get("CORPUSLOOM_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -172,7 +174,7 @@ def encode_column(
             if parts:
                 yield batch(keys.slice(begin, len(parts)), parts)
 
-    return df.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return spread(df.select(F.col(key), F.col(text))).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
 
 def count_tokens(
@@ -194,4 +196,4 @@ def count_tokens(
             n = pa.array([len(packed(t.as_py())) >> 2 for t in b.column(len(kept))], pa.int64())
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(kept))], n], names=[*kept, out])
 
-    return df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`")).mapInArrow(run, schema)
+    return spread(df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`"))).mapInArrow(run, schema)
