@@ -29,24 +29,19 @@ def paper_groups(df: DataFrame, scratch: Scratch, key: str = "qa_id", source: st
     Only samples that name several papers make edges, one to each from their least paper; the
     papers' graph is searched by :func:`connected_components`.
     """
-    named = (
-        df.where(F.col(key).isNotNull())
-        .select(F.col(key).alias("key"), F.array_distinct(F.expr(f"regexp_extract_all(`{source}`, r'{PAPER}', 1)")).alias("papers"))
-        .where(F.size("papers") > 0)
-        .distinct()
-    )
-    one = named.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("papers")))).alias("papers"))
-    samples = scratch.table(one)
-    edges = (
-        samples.where(F.size("papers") > 1)
-        .select(F.col("papers")[0].alias("a"), F.explode(F.slice("papers", F.lit(2), F.size("papers"))).alias("b"))
-        .distinct()
+    found = df.where(F.col(key).isNotNull()).select(
+        F.col(key).alias("key"), F.explode(F.expr(f"regexp_extract_all(`{source}`, r'{PAPER}', 1)")).alias("paper")
     )
+    named = scratch.table(found.distinct())
+    # One row a sample, however often its key or a paper is repeated.
+    samples = scratch.table(named.groupBy("key").agg(F.min("paper").alias("least"), F.count("*").alias("n")))
+    several = samples.where("n > 1").select("key", "least")
+    edges = named.join(several, "key").where("paper <> least").select(F.col("least").alias("a"), F.col("paper").alias("b")).distinct()
     roots = connected_components(edges, scratch)
     least = roots.groupBy("root").agg(F.min("node").alias("group_id"))
     of = roots.join(least, "root").select(F.col("node").alias("paper"), "group_id")
     return (
-        samples.select(F.col("key").alias(key), F.col("papers")[0].alias("paper"))
+        samples.select(F.col("key").alias(key), F.col("least").alias("paper"))
         .join(of, "paper", "left")
         .select(key, F.coalesce("group_id", "paper").alias("group_id"))
     )
