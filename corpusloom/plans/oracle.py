@@ -380,7 +380,8 @@ ORACLE: dict[str, str] = {
     """,
     "group_chunks_by_paper": f"""
         SELECT arxiv_id, arg_min_null(title, (chunk_ord, chunk_id)) AS title, count(*) AS n_chunks,
-            md5(string_agg(chunk_id, ',' ORDER BY chunk_ord, chunk_id)) AS ids_md5 FROM {CHUNKS} GROUP BY arxiv_id
+            arg_min(chunk_id, (chunk_ord, chunk_id)) AS first_chunk, arg_max(chunk_id, (chunk_ord, chunk_id)) AS last_chunk,
+            CAST(sum(CAST('0x' || substr(md5(chunk_id), 1, 8) AS BIGINT)) AS BIGINT) AS ids_sum FROM {CHUNKS} GROUP BY arxiv_id
     """,
     "qa_sample_allocation": f"WITH {ALLOCATED} SELECT chunk_id, place, kind FROM placed",
     "qa_pairs": f"WITH {ALLOCATED} SELECT pair_no, first, second FROM pairs",
