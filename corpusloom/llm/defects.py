@@ -23,10 +23,12 @@ DEFECTS = ("empty", "truncated", "refusal", "copy", "language")
 #: Labelled rows the tagger is fitted on: so many of type refusal and of the other types, those
 #: with the least hashes of their keys. The only bounded sample here; every row is tagged.
 REFUSAL_ROWS, OTHER_ROWS = 700, 2300
-#: Clauses of a response that training looks at; tagging looks at all.
-TRAIN_CLAUSES = 8
-#: Hashed features, and how many of them a clause may have.
-FEATURES, WIDTH = 1 << 14, 44
+#: Parts of a response that training looks at; tagging looks at all.
+TRAIN_PARTS = 8
+#: Words of a part that is tagged by itself; longer clauses are cut into several parts.
+PART_WORDS = 22
+#: Hashed features, and how many of them a part may have: rules, words and pairs of words.
+FEATURES, WIDTH = 1 << 14, 14 + 2 * PART_WORDS
 #: Words in fewer training clauses than this teach nothing; they would only tell single rows apart.
 LEAST_SEEN = 4
 
@@ -146,16 +148,31 @@ def _hash(kind: str, value: str) -> int:
 
 
 def clause_features(output: str, question: str) -> tuple[list[str], list[list[int]], list[dict]]:
-    """(clauses, their feature numbers, what the weak labels need) of one response."""
-    parts = clauses(output)
-    asked = WORD.findall(question.lower())
-    known = set(asked)
+    """(clauses, feature numbers of their parts, what the weak labels need of each) of one response.
+
+    A clause of more than PART_WORDS words has several consecutive parts, of equal length but for a
+    word; each word is in one part and each pair of neighbours in that of its second word.
+    """
     own, whole = language(question), language(output)
     same = own is None or whole == own  # then no clause can be foreign
+    known = set(WORD.findall(question.lower()))
     open_end = is_unfinished(output)
+    found = clauses(output)
+    parts: list[tuple[str, list[str], list[str]]] = []  # text, words, words with the one before
+    for clause in found:
+        lower = clause.lower()
+        at = [m.span() for m in WORD.finditer(lower)]
+        if len(at) <= PART_WORDS:
+            words = [lower[a:b] for a, b in at] or [clause]
+            parts.append((clause, words, words))
+            continue
+        n = -(-len(at) // PART_WORDS)
+        for k in range(n):
+            a, b = len(at) * k // n, len(at) * (k + 1) // n
+            words = [lower[i:j] for i, j in at[max(0, a - 1) : b]]
+            parts.append((lower[at[a][0] : at[b - 1][1]], words[a > 0 :], words))
     facts, numbers = [], []
-    for i, part in enumerate(parts):
-        words = WORD.findall(part.lower()) or [part]
+    for i, (part, words, linked) in enumerate(parts):
         echo = sum(w in known for w in words) / len(words)
         spoken = whole if same else language(part) or whole
         foreign = bool(not same and spoken and spoken != own)
@@ -167,10 +184,10 @@ def clause_features(output: str, question: str) -> tuple[list[str], list[list[in
             f.append(33)
         # Words count by their language and whether it is the question's, lest a language itself tells.
         tongue = f"{spoken}{foreign:d} "
-        f += [_hash("w", tongue + w) for w in words[:22]]
-        f += [_hash("b", tongue + a + " " + b) for a, b in zip(words[:18], words[1:19])]
-        numbers.append(f[:WIDTH])
-    return parts, numbers, facts
+        f += [_hash("w", tongue + w) for w in words]
+        f += [_hash("b", tongue + a + " " + b) for a, b in zip(linked, linked[1:])]
+        numbers.append(f)
+    return found, numbers, facts
 
 
 def weak_tags(facts: list[dict], kind: str) -> list[int]:
@@ -201,7 +218,7 @@ def fit_tagger(rows: list[tuple[str, str, str]]) -> LinearChain:
             continue  # too few to tell a refusal's words from the language's
         _, numbers, facts = clause_features(output, question)
         if numbers:
-            made.append((numbers[-TRAIN_CLAUSES:], weak_tags(facts, kind)[-TRAIN_CLAUSES:]))
+            made.append((numbers[-TRAIN_PARTS:], weak_tags(facts, kind)[-TRAIN_PARTS:]))
     # What rules tell without any word: nothing stands out in an answer, however often refusals come
     # first; a foreign, unfinished or repeating clause is one whatever it says.
     for echo in range(6):
@@ -231,7 +248,7 @@ def pair_defect(kind: str | None, prompt: str | None, output: str | None, tagger
     output = None if output is None else TAGGED.sub("", output)
     if output is None or not any(map(str.isalnum, output)) or PLACEHOLDER.match(output):
         return "empty"
-    _, numbers, facts = clause_features(output, question_of(prompt))
+    found, numbers, facts = clause_features(output, question_of(prompt))
     tags = tagger.decode(numbers)
     cover = [0] * len(TAGS)
     for tag, x in zip(tags, facts):
@@ -240,9 +257,9 @@ def pair_defect(kind: str | None, prompt: str | None, output: str | None, tagger
     if cover[FOREIGN] > 0.5 * total:
         return "language"
     # A frame around the question, of a few words, isn't an answer.
-    if cover[ECHO] and cover[ANSWER] + cover[REFUSAL] + (cover[UNFINISHED] if len(tags) > 1 else 0) <= 0.25 * cover[ECHO]:
+    if cover[ECHO] and cover[ANSWER] + cover[REFUSAL] + (cover[UNFINISHED] if len(found) > 1 else 0) <= 0.25 * cover[ECHO]:
         return "copy"
-    if len(tags) == 1 and facts[0]["echo"] >= 0.75 and facts[0]["words"] >= 5:
+    if len(found) == 1 and total >= 5 and sum(x["echo"] * x["words"] for x in facts) >= 0.75 * total:
         return "copy"
     if tags[-1] == UNFINISHED:
         return "truncated"

@@ -278,6 +278,31 @@ def test_defects(tagger, kind, output, defect):
     assert defects.pair_defect(kind, PROMPT, output, tagger) == defect
 
 
+LONG = "After going through every passage that came with the question and after looking for the second run in each of the tables that stand there"
+
+
+@pytest.mark.parametrize(
+    "output, defect",
+    [
+        (LONG + " I cannot answer this from the passages and sorry I can't help with that one as the passages are silent on this point.", "refusal"),
+        ("```\n" + LONG + "\nI cannot answer this from the passages\nSorry, I can't help with that one\n```", "refusal"),
+        (LONG + " the model lowers the error by 3.2 points because the cache is small and the ranking list moves by two points.", None),
+    ],
+)
+def test_long_clauses_are_tagged_to_their_end(tagger, output, defect):
+    assert defects.pair_defect("grounded", PROMPT, output, tagger) == defect
+
+
+def test_every_word_and_pair_of_a_clause_is_a_feature():
+    words = [f"w{i}" for i in range(100)]
+    found, numbers, facts = defects.clause_features(" ".join(words) + ".", "What is it?")
+    assert len(found) == 1 and sum(x["words"] for x in facts) == 100 and all(len(f) <= defects.WIDTH for f in numbers)
+    seen = {n for f in numbers for n in f}
+    tongue = f"{defects.language(' '.join(words))}0 "
+    assert {defects._hash("w", tongue + w) for w in words} <= seen
+    assert {defects._hash("b", f"{tongue}{a} {b}") for a, b in zip(words, words[1:])} <= seen
+
+
 def test_foreign_pair_is_sound(tagger):
     prompt = "Question: Wie verändert das Modell die Fehlerquote, wenn die Texte lang sind und der Speicher klein ist?"
     assert defects.pair_defect("grounded", prompt, "Das Modell verringert die Laufzeit um drei Punkte, weil der Speicher nicht reicht.", tagger) is None
