@@ -274,3 +274,15 @@ def record_kinds(tables: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
         )
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def clean_records(tables: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
+    """(rec_table, rec_key, kinds, clean), distinct, over tables given as (name, table, key, text).
+
+    Every record with a key is here, those without markup or text too; see :func:`strip_markup`.
+    """
+    out = None
+    for name, df, key, text in tables:
+        cleaned = strip_markup(df, key, text).select(F.lit(name).alias("rec_table"), F.col(key).cast("string").alias("rec_key"), "kinds", "clean").distinct()
+        out = cleaned if out is None else out.unionByName(cleaned)
+    return out

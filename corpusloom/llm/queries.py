@@ -28,17 +28,19 @@ def p2_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.split_groups(scratch.table(whole), scratch)
 
 
+def _marked_up(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame, str, str]]:
+    return [
+        ("chunks", read_table(spark, sf_dir, "chunks"), "chunk_id", "text"),
+        ("papers_parsed", read_table(spark, sf_dir, "papers_parsed"), "arxiv_id", "full_text"),
+    ]
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return markup.record_kinds(
-        [
-            ("chunks", read_table(spark, sf_dir, "chunks"), "chunk_id", "text"),
-            ("papers_parsed", read_table(spark, sf_dir, "papers_parsed"), "arxiv_id", "full_text"),
-        ]
-    )
+    return markup.record_kinds(_marked_up(spark, sf_dir))
 
 
 def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return markup.strip_markup(read_table(spark, sf_dir, "chunks"), "chunk_id", "text").distinct()
+    return markup.clean_records(_marked_up(spark, sf_dir))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,3 +32,14 @@ def test_found_columns(spark):
     }
     for name, columns in want.items():
         assert QUERIES[name](spark, SF).dtypes == columns, name
+
+
+def test_clean_text_covers_both_tables(spark):
+    df = QUERIES["p3_clean"](spark, SF)
+    assert df.dtypes == [("rec_table", "string"), ("rec_key", "string"), ("kinds", "array<string>"), ("clean", "string")]
+    rows = df.collect()
+    for table, key in (("chunks", "chunk_id"), ("papers_parsed", "arxiv_id")):
+        want = {r[0] for r in spark.read.parquet(f"{SF}/{table}.parquet").select(key).collect()} - {None}
+        assert {r["rec_key"] for r in rows if r["rec_table"] == table} == want
+    kinds = {(r["rec_table"], r["rec_key"], k) for r in rows for k in r["kinds"]}
+    assert kinds == {tuple(r) for r in QUERIES["p3_found"](spark, SF).collect()}
