@@ -244,6 +244,29 @@ def test_longer_copies_equal_brute_force(spark):
     assert got == {i for i, a in enumerate(texts) if any(b != a and b.startswith(a) for b in texts)}
 
 
+def test_prefixes_break_off_wherever_the_copy_goes_on(spark):
+    start = "The first sentence of this text has quite a few words in it so that it is long.\n"
+    item = start + "- the second line is an item that Marpai checks [twice] over three runs\n- the last one ends it"
+    chinese = "我们比较了两种模型。" * 8 + "\n- 结果很好。"
+    texts = {
+        1: item, 2: item[: item.index(" that")], 3: item[: item.index("Marpai")], 4: item[: item.index("- the last")], 5: item[: item.index(" runs")] + " [truncated]",
+        6: item[: item.index(" over")] + " (cut)", 7: start + "Keywords: caches, tables, runs", 8: start + "Keywords: caches, tab", 9: start + "Keywords: caches", 10: start,
+        11: "Keywords: recall", 12: "Keywords: rec", 13: "Biased tables", 14: "Biased tables pass through the cache and the runs that follow it.",
+        15: chinese, 16: chinese[:-3], 17: item[: item.index(" checks")] + "&am", 18: item[: item.index(" item")] + ".", 19: "...",
+    }
+    df = spark.createDataFrame([(k, "s", t) for k, t in texts.items()], "doc_id long, source string, text string").repartition(5)
+    got = {r["doc_id"] for r in truncation.truncated(df, Scratch(spark, "t")).collect()}
+    assert got == {2, 3, 5, 6, 8, 9, 12, 16, 17}
+    copies = {r["doc_id"] for r in truncation.longer_copies(df, Scratch(spark, "t")).collect()}
+    assert copies == {2, 3, 4, 5, 6, 8, 9, 10, 12, 13, 16, 17, 18}
+
+
+def test_a_copy_that_goes_on_counts_before_one_that_ends_there(spark):
+    line = "- an item of a list that has more than sixty-four characters until here"
+    df = spark.createDataFrame([(1, "s", line), (2, "s", line + "\n- b"), (3, "s", line + ". B."), (4, "s", line + " and there.")], "doc_id long, source string, text string")
+    assert [r["doc_id"] for r in truncation.truncated(df, Scratch(spark, "t")).collect()] == [1]
+
+
 # Defects
 
 PROMPT = "Context from 'X' (y):\nsome passage.\n\nQuestion: What does the model change in the table of results for the second run?"
