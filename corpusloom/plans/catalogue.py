@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import models
@@ -219,7 +219,7 @@ def vector_topk(spark, d):
 
 @query
 def cosine_sanity(spark, d):
-    """Mean similarity of every fiftieth vector to the means of its own and of other labels."""
+    """Similarity of every fiftieth vector to the mean of its own label; cosine_contrast has all, and other labels."""
     vectors = read_table(spark, d, "embeddings")
     sums = vectors.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
     means = sums.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("mean"))
@@ -228,6 +228,21 @@ def cosine_sanity(spark, d):
     return same.select("vec_id", F.round("same", 6).alias("same_label"), (F.col("same") > 0).alias("is_near"))
 
 
+@query
+def cosine_contrast(spark, d):
+    """Similarity of every labelled vector to the mean of its own label and to that of all vectors of other labels."""
+    vectors = read_table(spark, d, "embeddings").where("label is not null")
+    cells = vectors.select("label", F.posexplode("embedding").alias("i", "x"))
+    sums = cells.groupBy("label", "i").agg(F.sum(F.col("x").cast("double")).alias("s"), F.count("x").alias("n"))
+    all_labels = Window.partitionBy("i")
+    other = F.try_divide(F.sum("s").over(all_labels) - F.col("s"), F.sum("n").over(all_labels) - F.col("n"))
+    cells = sums.select("label", F.struct("i", F.try_divide("s", "n").alias("own"), other.alias("other")).alias("cell"))
+    means = cells.groupBy(F.col("label").alias("own")).agg(F.array_sort(F.collect_list("cell")).alias("cells"))
+    to = lambda name: vector.cosine(F.col("embedding"), F.col("cells")[name])
+    found = vectors.join(F.broadcast(means), F.col("own") == F.col("label")).select("vec_id", to("own").alias("same"), to("other").alias("other"))
+    return found.select("vec_id", F.round("same", 6).alias("same_label"), F.round("other", 6).alias("other_label"), (F.col("same") > F.col("other")).alias("is_nearer"))
+
+
 @query
 def rrf_fusion(spark, d):
     q = _questions(spark, d)

@@ -341,6 +341,19 @@ ORACLE: dict[str, str] = {
             list_cosine_similarity(CAST(embedding AS DOUBLE[]), mean) > 0 AS is_near
         FROM embeddings JOIN means USING (label) WHERE vec_id % 50 = 0
     """,
+    "cosine_contrast": """
+        WITH cells AS (
+            SELECT label, unnest(generate_series(1, len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE label IS NOT NULL
+        ), labels AS (SELECT DISTINCT label FROM cells),
+        own AS (SELECT label, i, avg(x) AS x FROM cells GROUP BY label, i),
+        other AS (SELECT l.label, c.i, avg(c.x) AS x FROM labels l JOIN cells c ON c.label <> l.label GROUP BY l.label, c.i),
+        means AS (SELECT own.label, list(own.x ORDER BY i) AS mean, list(other.x ORDER BY i) AS rest FROM own JOIN other USING (label, i) GROUP BY own.label),
+        found AS (
+            SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), mean) AS same, list_cosine_similarity(CAST(embedding AS DOUBLE[]), rest) AS other
+            FROM embeddings JOIN means USING (label)
+        )
+        SELECT vec_id, round(same, 6) AS same_label, round(other, 6) AS other_label, same > other AS is_nearer FROM found
+    """,
     "rrf_fusion": f"WITH {FUSED} SELECT query_id, doc, round(rrf, 6) AS rrf, rank FROM fused",
     "hybrid_search_top5": f"WITH {HYBRID} SELECT query_id, doc, arxiv_id, section, round(rrf, 6) AS score, rank FROM found",
     "dedup_paper_topk": f"WITH {FUSED}, found AS {dedup('fused', 'c.arxiv_id', 'rrf')} SELECT query_id, doc, arxiv_id, round(rrf, 6) AS score, rank FROM found",

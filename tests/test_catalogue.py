@@ -46,3 +46,10 @@ def test_entry_is_stable(spark):
     df = __spark_entry__.entry(spark)
     assert df.columns == ["query_id", "doc", "arxiv_id", "section", "score", "rank"] and df.count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_cosine_contrast_compares_labels(spark, tmp_path):
+    rows = [(1, "a", [1.0, 0.0]), (2, "a", [1.0, 0.2]), (3, "b", [0.0, 1.0]), (4, "b", [1.0, 0.1]), (5, "b", [0.1, 1.0]), (6, None, [1.0, 1.0])]
+    spark.createDataFrame(rows, "vec_id long, label string, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["vec_id"]: r["is_nearer"] for r in QUERIES["cosine_contrast"](spark, str(tmp_path)).collect()}
+    assert got == {1: True, 2: True, 3: True, 4: False, 5: True}
