@@ -14,6 +14,7 @@ Candidates are verified on the exact shingle sets, so no false link remains.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,8 +60,6 @@ EACH = len(ROUTES[0][2])
 NIBBLES = 64
 #: A bucket of more distinct texts than this is compared by leaders, not by all of its pairs.
 SMALL_BUCKET = 128
-#: Agreement at which a leader takes a text in; at similarity 0.5 three in 10,000 pairs reach it.
-TAKEN_IN = 48
 
 _RNG = np.random.default_rng(20240131)
 _MULT = (_RNG.integers(1, 2**63, NIBBLES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -136,6 +135,12 @@ def least_agreement(similarity: float) -> int:
     return int(NIBBLES * p - 3.5 * (NIBBLES * p * (1 - p)) ** 0.5)
 
 
+def taken_in(similarity: float) -> int:
+    """Agreement at which a leader takes a text in; three in 10,000 pairs of just this similarity reach it at 0.5."""
+    p = similarity + (1 - similarity) / 16
+    return min(NIBBLES, math.ceil(NIBBLES * p + 3.5 * (NIBBLES * p * (1 - p)) ** 0.5))
+
+
 def _members(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
     kind = df.schema[key].dataType.simpleString()
 
@@ -202,12 +207,12 @@ def _candidates(blobs: DataFrame, parts: int, similarity: float) -> DataFrame:
 
     A bucket of at most SMALL_BUCKET texts compares its pairs. In a larger one (copies of one
     text, or texts that share their rarest runs by chance) each text not taken in yet becomes a
-    leader, meets all others, and takes in those that agree in TAKEN_IN places, which needn't
-    meet each other, as they are linked through the leader. Texts taken in by different leaders
+    leader, meets all others, and takes in those that agree in :func:`taken_in` places, which needn't
+    meet each other, as they are linked through the leader. All texts taken in, by one leader too,
     are listed (a = b, hot, run = the bucket) for :func:`_rest_of_hot`, which compares those that
     aren't connected in the end.
     """
-    need = least_agreement(similarity)
+    need, enough = least_agreement(similarity), taken_in(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[bytes, ...]]] = {}
@@ -245,11 +250,11 @@ def _candidates(blobs: DataFrame, parts: int, similarity: float) -> DataFrame:
                 else:
                     for s in of:
                         own = at[s : s + size]
-                        x, y, led = _by_leaders(sketches[own], need)
+                        x, y, led = _by_leaders(sketches[own], need, enough)
                         left.append(ids[own[x]])
                         right.append(ids[own[y]])
-                        if len(np.unique(led[led >= 0])) > 1:
-                            taken = ids[own[led >= 0]]
+                        taken = ids[own[led >= 0]]
+                        if len(taken) > 1:
                             yield _pairs(np.full(len(taken), key[s]), taken, taken, True)
             if left:
                 a, b = np.concatenate(left), np.concatenate(right)
@@ -260,7 +265,7 @@ def _candidates(blobs: DataFrame, parts: int, similarity: float) -> DataFrame:
     return blobs.repartitionById(parts, F.col("part")).mapInArrow(run, "run bigint, a bigint, b bigint, hot boolean")
 
 
-def _by_leaders(sketches: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _by_leaders(sketches: np.ndarray, need: int, enough: int = NIBBLES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(x, y, led): places that agree enough, and who took each text in, -1 for leaders."""
     n = len(sketches)
     led = np.full(n, -1)
@@ -274,7 +279,7 @@ def _by_leaders(sketches: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray
         found = np.flatnonzero(ok)
         left.append(np.full(len(found), i))
         right.append(found)
-        new = found[(found > i) & (led[found] < 0) & (ag[found] >= TAKEN_IN)]
+        new = found[(found > i) & (led[found] < 0) & (ag[found] >= enough)]
         led[new] = i
     return np.concatenate(left), np.concatenate(right), led
 

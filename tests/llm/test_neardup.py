@@ -115,3 +115,20 @@ def test_leaders_meet_all():
     assert {(0, j) for j in range(10, 20)} <= got <= full
     assert full - got <= {(i, j) for i in range(10, 20) for j in range(i + 1, 20)}
     assert (led[10:20] == 0).all()
+
+
+def test_followers_of_one_leader_are_listed(spark):
+    import numpy as np
+
+    n = neardup.SMALL_BUCKET + 2
+    blob = (
+        np.arange(n, dtype=np.int64).tobytes(), np.zeros((n, neardup.NIBBLES // 16), np.uint64).tobytes(),
+        np.zeros(n, np.uint8).tobytes(), np.zeros((n, neardup.EACH), np.uint32).tobytes(),
+    )
+    blobs = spark.createDataFrame([(0, *map(bytearray, blob))], "part int, ids binary, sketches binary, routes binary, keys binary")
+    found = neardup._candidates(blobs, 1, 0.8).collect()
+    assert {r["a"] for r in found if r["hot"]} == set(range(1, n))
+
+
+def test_leaders_take_in_by_similarity():
+    assert neardup.taken_in(0.5) == 48 and neardup.taken_in(0.8) == 63 and neardup.taken_in(1.0) == 64
