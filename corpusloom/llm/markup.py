@@ -42,7 +42,7 @@ VERBATIM = re.compile(r"\\begin\{(verbatim|lstlisting|minted)\}(.*?)\\end\{\1\}"
 
 TICKS = re.compile(r"(?<!`)(`{1,2})(?!`)([^`\n]+?)\1(?!`)")
 DISPLAY = re.compile(r"\$\$(.+?)\$\$|\\\[(.+?)\\\]|\\begin\{((?:equation|align|gather|multline|eqnarray|displaymath|math)\*?)\}(.*?)\\end\{\3\}", re.S)
-INLINE = re.compile(r"(?<![\\$\w])\$(?=[^\s$])([^$\n]{0,300}?[^\s\\$])\$(?![\d$\w])|\\\((.+?)\\\)")
+INLINE = re.compile(r"(?<![\\$\w])\$(?=[^\s$])([^$\n]*?[^\s\\$])\$(?![\d$\w])|\\\((.+?)\\\)")
 
 MARKDOWN = [
     re.compile(r"^[ \t]{0,3}#{1,6}[ \t]+\S", re.M),

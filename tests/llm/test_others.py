@@ -188,6 +188,12 @@ def test_kinds(text, kinds):
     assert markup.markup_kinds(text) == kinds
 
 
+def test_long_formulas_are_latex():
+    formula = "$" + " + ".join(f"x_{i} [[y]]" for i in range(200)) + "$"
+    assert markup.markup_kinds(f"the sum {formula} here") == ["latex"]
+    assert markup.clean_text(f"the sum {formula} here") == (f"the sum {formula} here", ["latex"])
+
+
 def test_clean_keeps_structure():
     text = "<h2>Head</h2>\n<ul><li>one</li><li>two</li></ul>\n```python\nif a < b:\n    *x*\n```\nAn <i>idea</i> of $x_1$ and [it](http://u) &amp; more."
     clean, kinds = markup.clean_text(text)
