@@ -34,29 +34,49 @@ class Scratch:
     """Tables of one operator run, written under the shared folder.
 
     ``table`` materialises a frame and returns it read back, so later stages start from files
-    instead of a long lineage; ``drop`` removes a table no later stage reads. What is left goes
-    when the application ends, because the returned frames are lazy and still need it.
+    instead of a long lineage; ``drop`` removes a table no later stage reads. As the frames an
+    operator returns are lazy and still need theirs, what is left is removed by ``close``, at the
+    end of a ``with`` block around the use of the result, or else when the application ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._count = 0
-        self._paths: dict[int, str] = {}
-        atexit.register(_delete_quietly, spark, self.root)
+        if not _LEFT:
+            atexit.register(_delete_left)
+        _LEFT[self.root] = spark
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def close(self) -> None:
+        """Removes all tables; frames that read them can't be used any more."""
+        if _LEFT.pop(self.root, None) is not None:
+            _delete(self.spark, self.root)
 
     def counted(self, df: DataFrame) -> tuple[DataFrame, int]:
-        """The written table and its number of rows, counted while writing."""
+        """The written table and its number of rows, counted while writing.
+
+        The count is taken in the writing stage itself, whose tasks add to it once each, however
+        often one is done again.
+        """
         seen = Observation()
         read = self.table(df.observe(seen, F.count(F.lit(1)).alias("n")))
         return read, seen.get["n"]
 
-    def table(self, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{self._count}"
+    def path(self) -> str:
+        """A new path under the folder of this run."""
         self._count += 1
+        return f"{self.root}/{self._count}"
+
+    def table(self, df: DataFrame) -> DataFrame:
+        path = self.path()
         df.write.parquet(path)
         read = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(read)] = path
         read._corpusloom_path = path
         return read
 
@@ -67,6 +87,15 @@ class Scratch:
                 _delete(self.spark, path)
 
 
+#: Folders that are still there, to be removed when the application ends.
+_LEFT: dict[str, SparkSession] = {}
+
+
+def _delete_left() -> None:
+    for root, spark in list(_LEFT.items()):
+        _delete_quietly(spark, root)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -92,8 +121,10 @@ def spread(df: DataFrame) -> DataFrame:
     would keep one core busy only. Only frames that come straight from a scan are looked at: the
     partitions of others are known when they run, and are chosen by adaptive execution.
     """
-    plan = df._jdf.queryExecution().sparkPlan().toString()
-    if any(node in plan for node in ("Aggregate", "Join", "Window", "Exchange", "Sort", "Arrow", "Pandas", "Union")):
+    node = df._jdf.queryExecution().sparkPlan()
+    while node.children().size() == 1 and node.getClass().getSimpleName() in ("ProjectExec", "FilterExec", "ColumnarToRowExec"):
+        node = node.children().apply(0)
+    if node.children().size() or "Scan" not in node.getClass().getSimpleName():
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
