@@ -15,13 +15,14 @@ from . import bm25, vector
 def fuse_ranks(rankings: list[DataFrame], k: int = 60, limit: int | None = None) -> DataFrame:
     """(query_id, doc, rrf, rank) by reciprocal rank fusion of (query_id, doc, rank) tables.
 
-    A union and one aggregate rather than full outer joins, so one shuffle. Ties go to the lesser
-    document.
+    A union and one aggregate rather than full outer joins. The rankings of one query lie in one
+    partition each, which the engine may take for a partitioning of their union; the few rows are
+    placed anew, so that what follows doesn't rest on it. Ties go to the lesser document.
     """
     union = rankings[0].select("query_id", "doc", "rank")
     for r in rankings[1:]:
         union = union.unionByName(r.select("query_id", "doc", "rank"))
-    scored = union.groupBy("query_id", "doc").agg(F.round(F.sum(1.0 / (F.lit(k) + F.col("rank"))), 9).alias("rrf"))
+    scored = union.repartition("query_id", "doc").groupBy("query_id", "doc").agg(F.round(F.sum(1.0 / (F.lit(k) + F.col("rank"))), 9).alias("rrf"))
     order = Window.partitionBy("query_id").orderBy(F.col("rrf").desc(), "doc")
     ranked = scored.withColumn("rank", F.row_number().over(order))
     return ranked if limit is None else ranked.where(F.col("rank") <= limit)
