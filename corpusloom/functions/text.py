@@ -37,22 +37,30 @@ def clean_text(text: Column) -> Column:
     return strip(F.regexp_replace(t, r" {2,}", " "))
 
 
+#: What is cut from a chunk before embedding, in this order, and what stands for it.
+CHUNK_SCRAPS = (
+    (r"(?d)!\[.*?\]\(.*?\)", ""),
+    (r"(?d)\[([^\]]*)\]\(.*?\)", "$1"),
+    (f"(?md)^#+[{SPACE}]*", ""),
+    (r"\x{FFFD}", ""),
+    (r"\|[^|\n]{0,30}\|[^|\n]{0,30}\|", ""),
+    (r"\|Col[0-9]+", ""),
+    (rf"(?md)^\|.*\|[{SPACE}]*$", ""),
+    (r"(?md)^[-|:]+$", ""),
+    (rf"\[[{WORD_CHAR}{SPACE}]*\]", ""),
+    (r"_([^_]{1,3})_", ""),
+)
+
+
 def clean_chunk_text(text: Column) -> Column:
     """Markup scraps out before embedding; formulas stay.
 
     The order of the steps matters: links keep their words, table scraps and rules go, then lines
     in which letters, digits and white space aren't above half.
     """
-    t = F.regexp_replace(text, r"(?d)!\[.*?\]\(.*?\)", "")
-    t = F.regexp_replace(t, r"(?d)\[([^\]]*)\]\(.*?\)", "$1")
-    t = F.regexp_replace(t, f"(?md)^#+[{SPACE}]*", "")
-    t = F.regexp_replace(t, r"\x{FFFD}", "")
-    t = F.regexp_replace(t, r"\|[^|\n]{0,30}\|[^|\n]{0,30}\|", "")
-    t = F.regexp_replace(t, r"\|Col[0-9]+", "")
-    t = F.regexp_replace(t, rf"(?md)^\|.*\|[{SPACE}]*$", "")
-    t = F.regexp_replace(t, r"(?md)^[-|:]+$", "")
-    t = F.regexp_replace(t, rf"\[[{WORD_CHAR}{SPACE}]*\]", "")
-    t = F.regexp_replace(t, r"_([^_]{1,3})_", "")
+    t = text
+    for pattern, by in CHUNK_SCRAPS:
+        t = F.regexp_replace(t, pattern, by)
     t = F.array_join(F.filter(F.split(t, "\n"), readable_line), "\n")
     t = F.regexp_replace(t, r"\n{3,}", "\n\n")
     return strip(F.regexp_replace(t, r" {2,}", " "))
@@ -81,17 +89,20 @@ def strip_references(text: Column) -> Column:
     return F.when(at > 0, strip(F.substring(text, F.lit(1), at - 1))).otherwise(text)
 
 
+#: What is counted to tell a list of references.
+CITATION_MARKS = {
+    "doi": r"https?://doi\.org|doi\.org|arxiv\.org",
+    "year": r"\b(?:19|20)[0-9]{2}\b",
+    "author_year": rf"[A-Z][a-z]+[.,][{SPACE}]*(?:19|20)[0-9]{{2}}",
+    "conf": rf"In[{SPACE}]+_|In[{SPACE}]+Proc|In[{SPACE}]+\*",
+    "page": rf"(?i)\bpp\.[{SPACE}]*[0-9]|pages?[{SPACE}]*[0-9]",
+}
+
+
 def citation_features(text: Column) -> dict[str, Column]:
     """Counts of what makes a text look like a list of references."""
-    count = lambda p: F.regexp_count(text, F.lit(p))
-    return {
-        "doi": count(r"https?://doi\.org|doi\.org|arxiv\.org"),
-        "year": count(r"\b(?:19|20)[0-9]{2}\b"),
-        "author_year": count(rf"[A-Z][a-z]+[.,][{SPACE}]*(?:19|20)[0-9]{{2}}"),
-        "conf": count(rf"In[{SPACE}]+_|In[{SPACE}]+Proc|In[{SPACE}]+\*"),
-        "page": count(rf"(?i)\bpp\.[{SPACE}]*[0-9]|pages?[{SPACE}]*[0-9]"),
-        "n_words": word_count(text),
-    }
+    found = {name: F.regexp_count(text, F.lit(p)) for name, p in CITATION_MARKS.items()}
+    return found | {"n_words": word_count(text)}
 
 
 def citation_score(f: dict[str, Column]) -> Column:
@@ -132,6 +143,11 @@ def json_between_braces(text: Column) -> Column:
     return F.when((first > 0) & (F.instr(text, "}") > 0) & (last > first), F.substring(text, first, last - first + 1))
 
 
+def percent(share: Column, digits: int = 2) -> Column:
+    """A share as text in percent, such as ``81.67%``; null for null."""
+    return F.format_string(f"%.{digits}f%%", F.round(share.cast("double") * 100, digits))
+
+
 def score_distance(score: Column) -> Column:
     """1 - sigmoid."""
     return F.lit(1.0) - F.lit(1.0) / (F.lit(1.0) + F.exp(-score))

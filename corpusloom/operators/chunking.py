@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EXCLUDED_SECTIONS, SETTINGS, Settings
 from ..functions.text import clean_chunk_text, is_quality, strip_references, word_count, words
+from ..models import Tokenizer
 from ..runtime import spread
 
 
@@ -37,6 +41,34 @@ def windows(df: DataFrame, keys: list[str], text: str, size: int = 450, overlap:
     return rows.select(*keys, "idx", "total", F.col("_y.start").alias("start"), F.col("_y.text").alias("text"), F.col("_y.n_words").alias("n_words"))
 
 
+def token_windows(df: DataFrame, keys: list[str], text: str, tokenizer: Tokenizer, size: int = 450, overlap: int = 64, min_words: int = 10) -> DataFrame:
+    """The same as :func:`windows`, but measured in tokens of ``tokenizer``.
+
+    A text of at most ``size`` tokens is its own single window; else each window is decoded and
+    stripped, and those under ``min_words`` words are dropped. ``start`` counts tokens. A null
+    text gives no rows.
+    """
+    fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    schema = ", ".join([*filter(None, [fields]), "idx int, total int, start int, text string, n_words int"])
+
+    def cut(value: str) -> list[tuple[int, str]]:
+        ids = tokenizer.encode(value)
+        if len(ids) <= size:
+            return [(0, value)]
+        made = ((i, tokenizer.decode(ids[i : i + size]).strip()) for i in range(0, len(ids), size - overlap))
+        return [(i, t) for i, t in made if len(t.split()) >= min_words]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for *own, value in f.itertuples(index=False, name=None):
+                found = cut(value)
+                rows += [(*own, n, len(found), at, t, len(t.split())) for n, (at, t) in enumerate(found)]
+            yield pd.DataFrame(rows, columns=[*keys, "idx", "total", "start", "text", "n_words"])
+
+    return spread(df.where(F.col(text).isNotNull()).select(*keys, F.col(text).alias("_t"))).mapInPandas(run, schema)
+
+
 def chunk_id(paper: Column, section: Column, index: Column) -> Column:
     return F.substring(F.md5(F.concat_ws(":", paper, section, index.cast("string")).cast("binary")), 1, 12)
 
@@ -55,17 +87,20 @@ def content_sections(parsed: DataFrame) -> DataFrame:
     )
 
 
-def chunk_sections(sections: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
+def chunk_sections(sections: DataFrame, settings: Settings = SETTINGS, tokenizer: Tokenizer | None = None) -> DataFrame:
     """(arxiv_id, section, chunk_index, total_in_section, chunk_id, text, n_words).
 
     Sections are cleaned, short ones dropped, cut into windows, and windows of low quality left
-    out; indexes and totals count the windows before that, so they have gaps.
+    out; indexes and totals count the windows before that, so they have gaps. With a
+    ``tokenizer`` windows are measured in its tokens, else in words.
     """
     # Out of a generator, as a filter on a projection is pushed below it and cleans every text twice.
     once = F.explode_outer(F.array(clean_chunk_text(F.col("body"))))
     cleaned = spread(sections).select("arxiv_id", "section", once.alias("body"))
     kept = cleaned.where(word_count(F.col("body")) >= settings.min_section_words)
-    cut = windows(kept, ["arxiv_id", "section"], "body", settings.chunk_size, settings.chunk_overlap, settings.min_window_words)
+    sizes = (settings.chunk_size, settings.chunk_overlap, settings.min_window_words)
+    keys = ["arxiv_id", "section"]
+    cut = token_windows(kept, keys, "body", tokenizer, *sizes) if tokenizer else windows(kept, keys, "body", *sizes)
     good = cut.where(is_quality(F.col("text"), settings.min_chunk_words, settings.min_alpha_share))
     return good.select(
         "arxiv_id",
@@ -78,5 +113,5 @@ def chunk_sections(sections: DataFrame, settings: Settings = SETTINGS) -> DataFr
     )
 
 
-def chunk_papers(parsed: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
-    return chunk_sections(content_sections(parsed), settings)
+def chunk_papers(parsed: DataFrame, settings: Settings = SETTINGS, tokenizer: Tokenizer | None = None) -> DataFrame:
+    return chunk_sections(content_sections(parsed), settings, tokenizer)

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import models
 from ..config import SETTINGS, Settings
 from ..functions.text import json_between_braces, topic_of
+from ..runtime import Scratch
+from .ingest import row_numbers
 
 
 def seeded_order(key: Column, seed: int = 42) -> Column:
@@ -14,18 +17,16 @@ def seeded_order(key: Column, seed: int = 42) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))
 
 
-def allocate(chunks: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
-    """Eligible chunks in shuffled order with their place and kind.
+def allocate(chunks: DataFrame, scratch: Scratch, settings: Settings = SETTINGS) -> DataFrame:
+    """(chunk_id, arxiv_id, place, kind, pool_place, n_synthesis) of eligible chunks in shuffled order.
 
     Of min(n, cap) samples the grounded share comes first, then refusals (the remainder), then
     all other chunks are left for pairs. Places are numbered over ranges of the hash, so no task
-    sees all rows.
+    sees all rows, and texts stay where they are: samples fetch theirs by chunk_id.
     """
-    from .ingest import batch_numbers
-
-    eligible = chunks.where(F.col("word_count") >= settings.qa_min_words).withColumn("_o", seeded_order(F.col("chunk_id"), settings.seed))
-    placed = batch_numbers(eligible, ["_o"], batch=1, out="place")
-    n = eligible.agg(F.count("*")).scalar()
+    eligible = chunks.where(F.col("word_count") >= settings.qa_min_words).select("chunk_id", "arxiv_id", seeded_order(F.col("chunk_id"), settings.seed).alias("_o"))
+    placed = row_numbers(eligible, ["_o", "chunk_id"], scratch, "place")
+    n = placed.agg(F.count("*")).scalar()
     total = F.least(n, F.lit(settings.qa_cap))
     grounded = F.floor(total * settings.qa_grounded)
     synthesis = F.floor(total * settings.qa_synthesis)
@@ -51,25 +52,93 @@ def pairs(allocated: DataFrame) -> DataFrame:
 
 
 def passage(title: Column, section: Column, text: Column, chars: int) -> Column:
+    """What a sample shows of a chunk; the form of the first line is a fixed value, as stored samples have it."""
     return F.concat(
         F.lit("Context from '"), F.coalesce(title, F.lit("")), F.lit("' ("), F.coalesce(section, F.lit("")), F.lit("):\n"), F.substring(text, 1, chars)
     )
 
 
-def grounded_inputs(chunks: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
-    """(chunk_id, kind, topic, context) of grounded and refusal samples."""
-    return chunks.select(
-        "chunk_id", "kind", topic_of(F.coalesce("title", F.lit(""))).alias("topic"),
-        passage(F.col("title"), F.col("section"), F.col("text"), settings.qa_context_chars).alias("context"),
+def grounded_inputs(placed: DataFrame, chunks: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
+    """(chunk_id, kind, topic, title, excerpt, context, source_arxiv_id) of grounded and refusal samples.
+
+    ``placed`` comes from :func:`allocate`; of the chunks only those of samples are fetched, of
+    which there are at most ``settings.qa_cap``.
+    """
+    chosen = placed.where("kind <> 'synthesis'").select("chunk_id", "kind")
+    own = chunks.select("chunk_id", "arxiv_id", "title", "section", "text").join(_few(chosen, settings), "chunk_id")
+    return own.select(
+        "chunk_id", "kind", topic_of(F.coalesce("title", F.lit(""))).alias("topic"), F.coalesce("title", F.lit("")).alias("title"),
+        F.substring("text", 1, settings.qa_context_chars).alias("excerpt"),
+        passage(F.col("title"), F.col("section"), F.col("text"), settings.qa_context_chars).alias("context"), F.col("arxiv_id").alias("source_arxiv_id"),
     )
 
 
 def synthesis_inputs(paired: DataFrame, chunks: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
-    """(pair_no, context, source_arxiv_id) of paired chunks."""
-    own = chunks.select("chunk_id", "arxiv_id", passage(F.col("title"), F.col("section"), F.col("text"), settings.qa_pair_chars).alias("p"))
-    first, second = own.toDF("first", "paper_a", "a"), own.toDF("second", "paper_b", "b")
-    joined = paired.join(first, "first").join(second, "second")
-    return joined.select("pair_no", F.concat("a", F.lit("\n\n"), "b").alias("context"), F.concat("paper_a", F.lit(","), "paper_b").alias("source_arxiv_id"))
+    """(pair_no, titles, excerpts, context, source_arxiv_id) of paired chunks, both in their order."""
+    ends = paired.select("pair_no", F.explode(F.array(F.struct(F.lit(1).alias("at"), F.col("first").alias("chunk_id")), F.struct(F.lit(2).alias("at"), F.col("second").alias("chunk_id")))).alias("e"))
+    ends = ends.select("pair_no", "e.at", "e.chunk_id")
+    own = chunks.select("chunk_id", "arxiv_id", "title", "section", "text").join(_few(ends, settings), "chunk_id")
+    shown = passage(F.col("title"), F.col("section"), F.col("text"), settings.qa_pair_chars).alias("context")
+    row = F.struct("at", F.coalesce("title", F.lit("")).alias("title"), F.substring("text", 1, settings.qa_pair_chars).alias("excerpt"), shown, "arxiv_id")
+    two = own.groupBy("pair_no").agg(F.array_sort(F.collect_list(row)).alias("x"))  # two rows a pair
+    return two.select(
+        "pair_no", F.col("x.title").alias("titles"), F.col("x.excerpt").alias("excerpts"),
+        F.array_join("x.context", "\n\n").alias("context"), F.array_join("x.arxiv_id", ",").alias("source_arxiv_id"),
+    )
+
+
+def _few(keys: DataFrame, settings: Settings) -> DataFrame:
+    """Keys of samples, of which there are at most twice the cap, for a join with the chunks."""
+    return F.broadcast(keys) if settings.qa_cap <= 100_000 else keys
+
+
+#: Our wording of the three requests to a generator; slots and their order are what is fixed.
+RULES = "Stay with what the excerpt says, name the paper, write plain sentences, and reply with one JSON object that has the keys question and answer only."
+REQUESTS = {
+    "grounded": ("Write a question about one claim, method or result of this excerpt, and its answer in two to four sentences.\n", RULES, "\n\nPaper: ", "\nExcerpt:\n"),
+    "synthesis": ("Write a question that compares these two papers, and an answer in three to five sentences that uses both.\n", RULES, "\n\nPaper ", ": ", "\nExcerpt:\n"),
+    "refusal": (
+        "Write a question on the topic of this paper that the excerpt does not answer, and an answer that says what the excerpt covers and what it lacks.\n",
+        RULES, "\n\nPaper: ", "\nTopic: ", "\nExcerpt:\n",
+    ),
+}
+
+
+def requests(placed: DataFrame, chunks: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
+    """(sample, type, prompt, context, source_arxiv_id): what a generator is asked for each sample."""
+    single = grounded_inputs(placed, chunks, settings)
+    g, r, s = (REQUESTS[k] for k in ("grounded", "refusal", "synthesis"))
+    own = F.when(F.col("kind") == "grounded", F.concat(F.lit(g[0] + g[1] + g[2]), "title", F.lit(g[3]), "excerpt")).otherwise(
+        F.concat(F.lit(r[0] + r[1] + r[2]), "title", F.lit(r[3]), "topic", F.lit(r[4]), "excerpt")
+    )
+    double = synthesis_inputs(pairs(placed), chunks, settings)
+    part = lambda i: F.concat(F.lit(f"{s[2]}{i + 1}{s[3]}"), F.col("titles")[i], F.lit(s[4]), F.col("excerpts")[i])
+    both = F.concat(F.lit(s[0] + s[1]), part(0), part(1))
+    columns = lambda sample, kind, prompt: (sample.alias("sample"), kind.alias("type"), prompt.alias("prompt"), "context", "source_arxiv_id")
+    return single.select(*columns(F.col("chunk_id"), F.col("kind"), own)).unionByName(
+        double.select(*columns(F.concat(F.lit("pair-"), "pair_no"), F.lit("synthesis"), both))
+    )
+
+
+def samples(asked: DataFrame, generator: models.Generator, instruction: str, settings: Settings = SETTINGS, retries: int = 1, wait: float = 2.0) -> DataFrame:
+    """(sample, type, instruction, input, output, source_arxiv_id, order_key) of the requests a generator met.
+
+    The generator is asked for JSON, again after an error up to ``retries`` times; a request
+    without a valid object (see :func:`parse_generated`) gives no sample. ``order_key`` is a
+    seeded shuffle of all kinds.
+    """
+    raw = models.generate(asked, "sample", "prompt", generator, temperature=0.7, retries=retries, wait=wait, keep=["type", "context", "source_arxiv_id"], json=True)
+    made = parse_generated(raw, "raw").where("question is not null")
+    return made.select(
+        "sample", "type", F.lit(instruction).alias("instruction"), F.concat("context", F.lit("\n\nQuestion: "), "question").alias("input"),
+        F.col("answer").alias("output"), "source_arxiv_id", seeded_order(F.col("sample"), settings.seed).alias("order_key"),
+    )
+
+
+def sample_stats(made: DataFrame) -> DataFrame:
+    """One row: total and the number of samples of each type."""
+    of = lambda kind: F.count_if(F.col("type") == kind)
+    return made.agg(F.count("*").alias("total"), of("grounded").alias("type1_grounded"), of("synthesis").alias("type2_synthesis"), of("refusal").alias("type3_refusal"))
 
 
 def parse_generated(df: DataFrame, raw: str) -> DataFrame:
@@ -113,19 +182,15 @@ def train_eval_split(samples: DataFrame, key: str, share: float = 0.05, seed: in
     return at_edge.unionByName(others)
 
 
-def group_by_paper(chunks: DataFrame) -> DataFrame:
-    """(arxiv_id, title, n_chunks, first_chunk, last_chunk, ids_sum): each paper's first title and chunks.
+def group_by_paper(chunks: DataFrame, scratch: Scratch) -> DataFrame:
+    """(arxiv_id, title, n_chunks, pos, chunk_id): each paper's first title and its chunks in corpus order.
 
-    The chunks stay rows; a group is described by its count, its ends in corpus order and a sum of
-    hashes of its ids, all of which are added up before the shuffle, so that a paper with a third
-    of all chunks needs no list of them in one task.
+    The group is a run of rows in order of paper and ``pos``, not a list in one cell, so a paper
+    with a third of all chunks is spread over tasks like any other: rows are numbered over range
+    partitions, and the count, first title and first number of each paper are added up before
+    they are shuffled.
     """
-    order = F.struct("chunk_ord", "chunk_id")
-    number = F.conv(F.substring(F.md5("chunk_id"), 1, 8), 16, 10).cast("bigint")
-    return chunks.groupBy("arxiv_id").agg(
-        F.min_by("title", order).alias("title"),
-        F.count("*").alias("n_chunks"),
-        F.min_by("chunk_id", order).alias("first_chunk"),
-        F.max_by("chunk_id", order).alias("last_chunk"),
-        F.sum(number).alias("ids_sum"),
-    )
+    placed = row_numbers(chunks.select("arxiv_id", "chunk_id", "chunk_ord", "title"), ["arxiv_id", "chunk_ord", "chunk_id"], scratch, "_n")
+    per = placed.groupBy(F.col("arxiv_id").alias("_paper")).agg(F.min(F.struct("_n", "title")).alias("_first"), F.count("*").alias("n_chunks"))
+    joined = placed.join(per, F.col("arxiv_id").eqNullSafe(F.col("_paper")))
+    return joined.select("arxiv_id", F.col("_first.title").alias("title"), "n_chunks", (F.col("_n") - F.col("_first._n")).alias("pos"), "chunk_id")
