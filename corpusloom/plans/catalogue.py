@@ -22,21 +22,34 @@ def query(f: Query) -> Query:
     return f
 
 
-def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    return ingest.keep_first(read_table(spark, d, "chunks"), "chunk_id", [F.col("chunk_ord"), F.col("chunked_at")])
+#: Key and order of rows; the first row of a key counts.
+FIRST = {
+    "chunks": ("chunk_id", ["chunk_ord", "chunked_at"]),
+    "papers_parsed": ("arxiv_id", ["parsed_at"]),
+    "papers": ("arxiv_id", ["collected_at", "coalesce(query_source, '')", "coalesce(title, '')"]),
+    "qa_dataset": ("qa_id", ["created_at"]),
+}
 
 
-def _parsed(spark: SparkSession, d: str) -> DataFrame:
-    return ingest.keep_first(read_table(spark, d, "papers_parsed"), "arxiv_id", [F.col("parsed_at")])
+def _first(spark: SparkSession, d: str, table: str, *columns: str) -> DataFrame:
+    key, order = FIRST[table]
+    return ingest.first_rows(read_table(spark, d, table), key, [F.expr(o) for o in order], list(columns), Scratch(spark, "first"))
 
 
-def _papers(spark: SparkSession, d: str) -> DataFrame:
-    order = [F.col("collected_at"), F.coalesce("query_source", F.lit("")), F.coalesce("title", F.lit(""))]
-    return ingest.keep_first(read_table(spark, d, "papers"), "arxiv_id", order)
+def _chunks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return _first(spark, d, "chunks", *columns)
 
 
-def _qa(spark: SparkSession, d: str) -> DataFrame:
-    return ingest.keep_first(read_table(spark, d, "qa_dataset"), "qa_id", [F.col("created_at")])
+def _parsed(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return _first(spark, d, "papers_parsed", *columns)
+
+
+def _papers(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return _first(spark, d, "papers", *columns)
+
+
+def _qa(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return _first(spark, d, "qa_dataset", *columns)
 
 
 def _corpus(spark: SparkSession, d: str) -> DataFrame:
@@ -56,8 +69,19 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
     return items.join(_vectors(spark, d).select(F.col("doc").alias("query_id"), "embedding"), "query_id")
 
 
+_INDEXES: dict[tuple, str] = {}
+
+
 def _index(spark: SparkSession, d: str) -> bm25.Index:
-    return bm25.build_index(_corpus(spark, d), "doc", "text", Scratch(spark, "bm25"))
+    """The stored index of the documents: built by the first query of a session that needs it, then opened."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
+    changed = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()
+    name = (spark.sparkContext.applicationId, d, changed)
+    if name not in _INDEXES:
+        where = Scratch(spark, "bm25").path()
+        bm25.build_index(_corpus(spark, d), "doc", "text", where)
+        _INDEXES[name] = where
+    return bm25.open_index(spark, _INDEXES[name])
 
 
 def _digest(c: str) -> list:
@@ -66,12 +90,12 @@ def _digest(c: str) -> list:
 
 @query
 def paper_dedup_keep_first(spark, d):
-    return _papers(spark, d).select("arxiv_id", "title", "query_source", "primary_category")
+    return _papers(spark, d, "arxiv_id", "title", "query_source", "primary_category")
 
 
 @query
 def resume_union_antijoin(spark, d):
-    existing = _parsed(spark, d).select("arxiv_id", "title")
+    existing = _parsed(spark, d, "arxiv_id", "title")
     found = read_table(spark, d, "papers").select("arxiv_id", "title", "collected_at")
     order = [F.col("collected_at"), F.coalesce("title", F.lit(""))]
     return ingest.resume_union(existing.withColumn("collected_at", F.lit(None).cast("timestamp")), found, "arxiv_id", order).select("arxiv_id", "title")
@@ -91,7 +115,7 @@ def pending_downloads(spark, d):
 
 @query
 def paper_record(spark, d):
-    return ingest.paper_record(_papers(spark, d))
+    return ingest.paper_record(_papers(spark, d, "arxiv_id", "pdf_url", "authors", "title", "collected_at"))
 
 
 @query
@@ -101,7 +125,7 @@ def word_char_counts(spark, d):
 
 @query
 def defaults_and_iso(spark, d):
-    return _papers(spark, d).select(
+    return _papers(spark, d, "arxiv_id", "abstract", "title", "local_pdf_path", "published").select(
         "arxiv_id",
         F.coalesce(F.nullif(T.strip(F.col("abstract")), F.lit("")), F.col("title"), F.lit("")).alias("summary"),
         F.coalesce("local_pdf_path", F.lit("")).alias("path"),
@@ -111,19 +135,19 @@ def defaults_and_iso(spark, d):
 
 @query
 def text_clean(spark, d):
-    cleaned = _parsed(spark, d).select("arxiv_id", T.clean_text(F.col("full_text")).alias("t"))
+    cleaned = _parsed(spark, d, "arxiv_id", "full_text").select("arxiv_id", T.clean_text(F.col("full_text")).alias("t"))
     return cleaned.select("arxiv_id", *_digest("t"))
 
 
 @query
 def chunk_text_clean(spark, d):
-    cleaned = _chunks(spark, d).select("chunk_id", T.clean_chunk_text(F.col("text")).alias("t"))
+    cleaned = _chunks(spark, d, "chunk_id", "text").select("chunk_id", T.clean_chunk_text(F.col("text")).alias("t"))
     return cleaned.select("chunk_id", *_digest("t"))
 
 
 @query
 def strip_references(spark, d):
-    cut = _parsed(spark, d).select("arxiv_id", T.strip_references(F.col("full_text")).alias("t"))
+    cut = _parsed(spark, d, "arxiv_id", "full_text").select("arxiv_id", T.strip_references(F.col("full_text")).alias("t"))
     return cut.select("arxiv_id", *_digest("t"))
 
 
@@ -136,23 +160,23 @@ def citation_filter(spark, d):
 
 @query
 def quality_filter(spark, d):
-    return _chunks(spark, d).where("text is not null").select("chunk_id", T.is_quality(F.col("text")).alias("is_quality"))
+    return _chunks(spark, d, "chunk_id", "text").where("text is not null").select("chunk_id", T.is_quality(F.col("text")).alias("is_quality"))
 
 
 @query
 def section_split(spark, d):
-    return sections.split_sections(_parsed(spark, d)).select("arxiv_id", "pos", "section", *_digest("body"))
+    return sections.split_sections(_parsed(spark, d, "arxiv_id", "full_text")).select("arxiv_id", "pos", "section", *_digest("body"))
 
 
 @query
 def section_stats(spark, d):
-    per = sections.split_sections(_parsed(spark, d)).groupBy("arxiv_id").agg(F.bool_or(F.col("section") == "full_text").alias("bare"), F.count("*").alias("n"))
+    per = sections.split_sections(_parsed(spark, d, "arxiv_id", "full_text")).groupBy("arxiv_id").agg(F.bool_or(F.col("section") == "full_text").alias("bare"), F.count("*").alias("n"))
     return per.agg(F.count_if("bare").alias("full_text_papers"), F.count_if(~F.col("bare")).alias("sectioned_papers"), F.sum("n").alias("n_sections"))
 
 
 @query
 def content_sections(spark, d):
-    return chunking.content_sections(_parsed(spark, d)).select("arxiv_id", "section", *_digest("body"))
+    return chunking.content_sections(_parsed(spark, d, "arxiv_id", "sections", "full_text")).select("arxiv_id", "section", *_digest("body"))
 
 
 @query
@@ -164,25 +188,26 @@ def chunk_windows(spark, d):
 
 @query
 def chunk_records(spark, d):
-    made = chunking.chunk_papers(_parsed(spark, d))
+    made = chunking.chunk_papers(_parsed(spark, d, "arxiv_id", "sections", "full_text"))
     return made.select("arxiv_id", "section", "chunk_index", "total_in_section", "chunk_id", "n_words", F.md5("text").alias("digest"))
 
 
 @query
 def chunk_skipped_papers(spark, d):
-    parsed = _parsed(spark, d)
+    parsed = _parsed(spark, d, "arxiv_id", "sections", "full_text")
     return parsed.select("arxiv_id").join(chunking.chunk_papers(parsed).select("arxiv_id"), "arxiv_id", "left_anti")
 
 
 @query
 def index_metadata(spark, d):
-    return ingest.batch_numbers(ingest.index_records(_chunks(spark, d)), ["chunk_ord", "chunk_id"]).drop("chunk_ord")
+    rows = ingest.index_records(_chunks(spark, d, "chunk_id", "arxiv_id", "title", "section", "text", "metadata", "chunk_ord"))
+    return ingest.batch_numbers(rows, ["chunk_ord", "chunk_id"], Scratch(spark, "batches")).drop("chunk_ord")
 
 
 @query
 def index_counters(spark, d):
     status = F.when(F.col("text").isNull(), "null").when(F.length(T.strip(F.col("text"))) <= 10, "skipped").otherwise("indexed")
-    return _chunks(spark, d).groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+    return _chunks(spark, d, "text").groupBy(status.alias("status")).agg(F.count("*").alias("n"))
 
 
 @query
@@ -194,9 +219,8 @@ def bm25_tokens(spark, d):
 @query
 def bm25_stats(spark, d):
     index = _index(spark, d)
-    sizes = index.lengths.agg(F.count("*").alias("n_docs"), F.round(F.avg("dl"), 6).alias("avgdl"))
     terms = index.terms.agg(F.count("*").alias("n_terms"), F.round(F.avg("idf"), 6).alias("mean_idf"), F.sum("df").alias("sum_df"))
-    return sizes.select("n_docs", "avgdl", *[terms.select(c).scalar().alias(c) for c in ("n_terms", "mean_idf", "sum_df")])
+    return terms.select(F.lit(index.n_docs).cast("bigint").alias("n_docs"), F.round(F.lit(index.avgdl), 6).alias("avgdl"), "n_terms", "mean_idf", "sum_df")
 
 
 @query
@@ -217,17 +241,6 @@ def vector_topk(spark, d):
     return vector.top_k(queries, vectors, 10)
 
 
-@query
-def cosine_sanity(spark, d):
-    """Similarity of every fiftieth vector to the mean of its own label; cosine_contrast has all, and other labels."""
-    vectors = read_table(spark, d, "embeddings")
-    sums = vectors.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    means = sums.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("mean"))
-    probes = vectors.where("vec_id % 50 = 0").select("vec_id", F.col("label").alias("own"), "embedding")
-    same = probes.join(F.broadcast(means), F.col("own") == F.col("label")).select("vec_id", vector.cosine(F.col("embedding"), F.col("mean")).alias("same"))
-    return same.select("vec_id", F.round("same", 6).alias("same_label"), (F.col("same") > 0).alias("is_near"))
-
-
 @query
 def cosine_contrast(spark, d):
     """Similarity of every labelled vector to the mean of its own label and to that of all vectors of other labels."""
@@ -300,7 +313,7 @@ def rag_prompt_batch(spark, d):
 
 @query
 def think_strip(spark, d):
-    raw = _qa(spark, d).where("output is not null").select(
+    raw = _qa(spark, d, "qa_id", "output").where("output is not null").select(
         "qa_id", F.concat(F.lit("<think>first\nthoughts</think>"), "output", F.lit("<think>cut")).alias("raw"), "output"
     )
     return raw.select("qa_id", F.md5(T.strip_thinking(F.col("raw"))).alias("digest"), F.md5(T.strip_thinking(F.col("output"))).alias("own_digest"))
@@ -308,7 +321,7 @@ def think_strip(spark, d):
 
 def _generated(spark, d):
     asked = F.regexp_extract("input", r"(?s)Question: (.*)$", 1)
-    made = _qa(spark, d).where("input is not null and output is not null")
+    made = _qa(spark, d, "qa_id", "input", "output").where("input is not null and output is not null")
     body = F.to_json(F.struct(asked.alias("question"), F.col("output").alias("answer")))
     return made.select("qa_id", F.concat(F.lit("Sure: "), body, F.lit(" done")).alias("raw"))
 
@@ -321,56 +334,85 @@ def json_extract_valid(spark, d):
 
 @query
 def group_chunks_by_paper(spark, d):
-    return qa.group_by_paper(_chunks(spark, d))
+    return qa.group_by_paper(_chunks(spark, d, "arxiv_id", "chunk_id", "chunk_ord", "title"), Scratch(spark, "papers"))
+
+
+def _allocated(spark, d):
+    return qa.allocate(_chunks(spark, d, "chunk_id", "arxiv_id", "word_count"), Scratch(spark, "qa"))
+
+
+def _sample_chunks(spark, d):
+    return _chunks(spark, d, "chunk_id", "arxiv_id", "title", "section", "text")
 
 
 @query
 def qa_sample_allocation(spark, d):
-    return qa.allocate(_chunks(spark, d)).select("chunk_id", "place", "kind")
+    return _allocated(spark, d).select("chunk_id", "place", "kind")
 
 
 @query
 def qa_pairs(spark, d):
-    return qa.pairs(qa.allocate(_chunks(spark, d)))
+    return qa.pairs(_allocated(spark, d))
 
 
 @query
 def qa_topic_case(spark, d):
-    return _papers(spark, d).select("arxiv_id", T.topic_of(F.coalesce("title", F.lit(""))).alias("topic"))
+    return _papers(spark, d, "arxiv_id", "title").select("arxiv_id", T.topic_of(F.coalesce("title", F.lit(""))).alias("topic"))
 
 
 @query
 def qa_inputs(spark, d):
-    made = qa.grounded_inputs(qa.allocate(_chunks(spark, d)).where("kind <> 'synthesis'"))
+    made = qa.grounded_inputs(_allocated(spark, d), _sample_chunks(spark, d))
     return made.select("chunk_id", "kind", "topic", F.md5("context").alias("digest"))
 
 
 @query
 def qa_synthesis_inputs(spark, d):
-    chunks = _chunks(spark, d)
-    made = qa.synthesis_inputs(qa.pairs(qa.allocate(chunks)), chunks)
+    made = qa.synthesis_inputs(qa.pairs(_allocated(spark, d)), _sample_chunks(spark, d))
     return made.select("pair_no", "source_arxiv_id", F.md5("context").alias("digest"))
 
 
+@query
+def qa_requests(spark, d):
+    """What a generator is asked for each sample of the three kinds."""
+    made = qa.requests(_allocated(spark, d), _sample_chunks(spark, d))
+    return made.select("sample", "type", F.md5("prompt").alias("prompt_digest"), F.md5("context").alias("context_digest"), "source_arxiv_id")
+
+
+def _samples(spark, d):
+    asked = qa.requests(_allocated(spark, d), _sample_chunks(spark, d))
+    return qa.samples(asked, models.EchoGenerator(), rag.INSTRUCTION)
+
+
+@query
+def qa_samples(spark, d):
+    """The samples themselves; question and answer are a stand-in's."""
+    return _samples(spark, d).select("sample", "type", "instruction", F.md5("input").alias("input_digest"), "output", "source_arxiv_id", "order_key")
+
+
+@query
+def qa_sample_stats(spark, d):
+    return qa.sample_stats(_samples(spark, d))
+
+
 @query
 def qa_dataset_union(spark, d):
     """The three kinds of samples in one table, in an order of hashes."""
-    chunks = _chunks(spark, d)
-    placed = qa.allocate(chunks)
+    placed = _allocated(spark, d)
     single = placed.where("kind <> 'synthesis'").select("kind", F.col("chunk_id").alias("sample"), F.col("arxiv_id").alias("source"))
-    double = qa.synthesis_inputs(qa.pairs(placed), chunks).select(F.lit("synthesis").alias("kind"), F.concat(F.lit("pair-"), "pair_no").alias("sample"), F.col("source_arxiv_id").alias("source"))
+    double = qa.synthesis_inputs(qa.pairs(placed), _sample_chunks(spark, d)).select(F.lit("synthesis").alias("kind"), F.concat(F.lit("pair-"), "pair_no").alias("sample"), F.col("source_arxiv_id").alias("source"))
     return single.unionByName(double).withColumn("order_key", qa.seeded_order(F.col("sample")))
 
 
 @query
 def qa_type_counts(spark, d):
     kind = F.coalesce(F.lower(T.strip(F.col("type"))), F.lit("unknown"))
-    return _qa(spark, d).groupBy(kind.alias("type")).agg(F.count("*").alias("n"))
+    return _qa(spark, d, "type").groupBy(kind.alias("type")).agg(F.count("*").alias("n"))
 
 
 @query
 def chat_messages(spark, d):
-    made = qa.chat_messages(_qa(spark, d))
+    made = qa.chat_messages(_qa(spark, d, "qa_id", "instruction", "input", "output"))
     flat = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n")
     return made.select("qa_id", F.size("messages").alias("n_messages"), F.md5(flat).alias("digest"))
 
@@ -378,12 +420,12 @@ def chat_messages(spark, d):
 @query
 def token_length_stats(spark, d):
     n = T.word_count(F.concat_ws(" ", "instruction", "input", "output"))
-    return evaluate.length_stats(_qa(spark, d), n, 200)
+    return evaluate.length_stats(_qa(spark, d, "instruction", "input", "output"), n, 200)
 
 
 @query
 def train_eval_split(spark, d):
-    return qa.train_eval_split(_qa(spark, d), "qa_id")
+    return qa.train_eval_split(read_table(spark, d, "qa_dataset"), "qa_id")
 
 
 @query
@@ -424,7 +466,7 @@ def eval_report_details(spark, d):
 @query
 def embed_batches(spark, d):
     """Rows only: the vectors are a stand-in's."""
-    made = models.embed(_chunks(spark, d).where("text is not null"), "chunk_id", "text", models.HashEmbedder(), 32)
+    made = models.embed(_chunks(spark, d, "chunk_id", "text").where("text is not null"), "chunk_id", "text", models.HashEmbedder(), 32)
     return made.select("chunk_id", F.size("embedding").alias("size"), "status")
 
 
@@ -434,3 +476,24 @@ def generate_answers(spark, d):
     asked = rag.prompts(_search(spark, d), _corpus(spark, d), _questions(spark, d))
     made = models.generate(asked, "query_id", "prompt", models.EchoGenerator(), rag.INSTRUCTION)
     return made.select("query_id", T.strip_thinking(F.col("raw")).alias("answer"))
+
+
+@query
+def eval_report(spark, d):
+    """The stored report, flat; label and time are given, the details are those of the table."""
+    made = evaluate.report(read_table(spark, d, "eval_details"), "baseline", "now", 5)
+    return made.select(
+        "label", "config.top_k", "config.dataset_size", "retrieval.hit_rate", "retrieval.mrr", "retrieval.avg_precision", "answer.summary.avg_keyword_coverage",
+        "answer.summary.source_hit_rate", "answer.summary.substantive_rate", "answer.summary.total_time", F.size("answer.details").alias("n_details"),
+        T.percent(F.col("retrieval.hit_rate")).alias("hit_rate_text"), T.percent(F.col("answer.summary.avg_keyword_coverage")).alias("coverage_text"),
+    )
+
+
+@query
+def run_progress(spark, d):
+    """Rate a minute and minutes left after each item, as if items were answered one after another."""
+    items = read_table(spark, d, "eval_details").select("item_id", F.coalesce("latency_seconds", F.lit(0.0)).alias("s"))
+    so_far = Window.orderBy("item_id").rowsBetween(Window.unboundedPreceding, 0)  # a bounded set of items
+    placed = items.select("item_id", F.sum("s").over(so_far).alias("seconds"), F.row_number().over(Window.orderBy("item_id")).alias("done"))
+    rate, left = evaluate.progress(F.col("done"), items.agg(F.count("*")).scalar(), F.col("seconds"))
+    return placed.select("item_id", F.round(rate, 6).alias("per_minute"), F.round(left, 6).alias("minutes_left"))

@@ -2,12 +2,48 @@
 
 from __future__ import annotations
 
-from ..config import EXCLUDED_SECTIONS
-from ..functions.text import DEFAULT_TOPIC, REFERENCE_HEADINGS, TOPICS
-from ..functions.text import SPACE as S
-from ..functions.text import WORD_CHAR as W
-from ..operators.rag import PROMPT
-from ..operators.sections import heading_patterns
+#: The expected values of this module are its own: nothing is taken over from the code it checks.
+S = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+W = r"\p{L}\p{N}_"
+EXCLUDED_SECTIONS = ["references", "bibliography", "appendix", "acknowledgments", "acknowledgements"]
+TOPICS = [
+    ("rag", "retrieval-augmented generation"),
+    ("lora", "parameter-efficient fine-tuning"),
+    ("qlora", "quantised fine-tuning"),
+    ("hallucin", "LLM hallucination"),
+    ("prompt", "prompt engineering"),
+    ("instruct", "instruction tuning"),
+]
+PASSAGES, ASKED, REQUEST = "Passages:\n\n", "\n\n----\n\nQuestion: ", "\n\nGive an answer that rests on the passages alone."
+REFERENCE_HEADINGS = [
+    rf"\*\*[0-9]*\.?\*\*[{S}]*\*\*[Rr]eferences\*\*", rf"#+[{S}]*(?:[0-9]+\.?[{S}]+)?[Rr]eferences", r"\*\*[Rr]eferences\*\*", rf"[Rr]eferences[{S}]*$",
+    rf"\*\*[0-9]*\.?\*\*[{S}]*\*\*[Bb]ibliography\*\*", rf"#+[{S}]*(?:[0-9]+\.?[{S}]+)?[Bb]ibliography", rf"\*\*[Aa]cknowledg[{W}]*\*\*",
+]
+
+
+def _bold(names: str, more: bool) -> str:
+    return rf"\*\*[0-9]+\.?\*\*[{S}]*\*\*(?:{names})" + (f"[{W}]*" if more else "") + r"\*\*"
+
+
+def _hash(names: str) -> str:
+    return rf"#+[{S}]*(?:[0-9]+\.?[{S}]+)?(?:{names})"
+
+
+#: The forms of each section's heading, the first that matches anywhere counts.
+HEADINGS = {
+    "abstract": [_bold("[Aa]bstract", False), _hash("[Aa]bstract"), r"\*\*[Aa]bstract\*\*", rf"Abstract[{S}]*$"],
+    "introduction": [_bold("[Ii]ntroduction", False), _hash("[Ii]ntroduction")],
+    "related_work": [_bold(rf"[Rr]elated[{S}]*[Ww]ork|[Bb]ackground|[Pp]reliminar", True), _hash(rf"[Rr]elated[{S}]*[Ww]ork|[Bb]ackground")],
+    "method": [
+        _bold("[Mm]ethod|[Aa]pproach|[Mm]odel|[Ff]ramework|[Ss]ystem|[Pp]roposed", True), _hash("[Mm]ethod|[Aa]pproach|[Mm]odel|[Ff]ramework"),
+    ],
+    "experiments": [_bold("[Ee]xperiment|[Ee]valuation|[Rr]esult|[Ss]etup", True), _hash("[Ee]xperiment|[Ee]valuation|[Rr]esult")],
+    "discussion": [_bold("[Dd]iscussion|[Aa]nalysis|[Aa]blation", True), _hash("[Dd]iscussion|[Aa]nalysis|[Aa]blation")],
+    "conclusion": [_bold("[Cc]onclusion|[Ss]ummary", True), _hash("[Cc]onclusion|[Ss]ummary")],
+    "references": [_bold("[Rr]eferences|[Bb]ibliography", False), _hash("[Rr]eferences|[Bb]ibliography"), r"\*\*[Rr]eferences\*\*", rf"References[{S}]*$"],
+    "acknowledgments": [_bold("[Aa]cknowledg", True), _hash("[Aa]cknowledg"), rf"\*\*[Aa]cknowledg[{W}]*\*\*"],
+    "appendix": [_bold("[Aa]ppendix", True), _hash("[Aa]ppendix")],
+}
 
 
 def _q(text: str) -> str:
@@ -101,7 +137,7 @@ EXCLUDED = ", ".join(map(_q, EXCLUDED_SECTIONS))
 SECTIONS = f"""
     marks AS (
         SELECT * FROM (
-            {" UNION ALL ".join(f"SELECT arxiv_id, t, {_q(name)} AS section, {_start(p)} AS start_at FROM texts" for name, p in heading_patterns().items())}
+            {" UNION ALL ".join(f"SELECT arxiv_id, t, {_q(name)} AS section, {_start(p)} AS start_at FROM texts" for name, p in HEADINGS.items())}
         ) WHERE start_at > 0
     ), bodies AS (
         SELECT arxiv_id, section, start_at, {strip("substring(t, start_at, coalesce(lead(start_at) OVER (PARTITION BY arxiv_id ORDER BY start_at, section), length(t) + 1) - start_at)")} AS body
@@ -229,7 +265,7 @@ CONTEXT = """
         FROM found f JOIN corpus c USING (doc) GROUP BY query_id
     )
 """
-TOPIC = "CASE" + "".join(f" WHEN contains(lower(coalesce(title, '')), {_q(k)}) THEN {_q(v)}" for k, v in TOPICS) + f" ELSE {_q(DEFAULT_TOPIC)} END"
+TOPIC = "CASE" + "".join(f" WHEN contains(lower(coalesce(title, '')), {_q(k)}) THEN {_q(v)}" for k, v in TOPICS) + " ELSE 'machine learning' END"
 ALLOCATED = f"""
     eligible AS (
         SELECT *, row_number() OVER (ORDER BY md5('42:' || chunk_id)) - 1 AS place, count(*) OVER () AS n FROM {CHUNKS} WHERE word_count >= 80
@@ -252,6 +288,39 @@ def passage(prefix: str, chars: int) -> str:
     return f"'Context from ''' || coalesce({prefix}title, '') || ''' (' || coalesce({prefix}section, '') || '):' || chr(10) || substring({prefix}text, 1, {chars})"
 
 
+RULES = "Stay with what the excerpt says, name the paper, write plain sentences, and reply with one JSON object that has the keys question and answer only."
+GROUNDED = "Write a question about one claim, method or result of this excerpt, and its answer in two to four sentences.\n" + RULES + "\n\nPaper: "
+SYNTHESIS = "Write a question that compares these two papers, and an answer in three to five sentences that uses both.\n" + RULES
+REFUSAL = (
+    "Write a question on the topic of this paper that the excerpt does not answer, and an answer that says what the excerpt covers and what it lacks.\n"
+    + RULES + "\n\nPaper: "
+)
+EXCERPT = "chr(10) || 'Excerpt:' || chr(10) || substring({}text, 1, {})"
+REQUESTS = f"""
+    {ALLOCATED}, requests AS (
+        SELECT chunk_id AS sample, kind AS type, CASE WHEN kind = 'grounded'
+                THEN {_q(GROUNDED)} || coalesce(title, '') || {EXCERPT.format('', 500)}
+                ELSE {_q(REFUSAL)} || coalesce(title, '') || chr(10) || 'Topic: ' || {TOPIC} || {EXCERPT.format('', 500)} END AS prompt,
+            {passage('', 500)} AS context, arxiv_id AS source_arxiv_id
+        FROM placed WHERE kind <> 'synthesis'
+        UNION ALL
+        SELECT 'pair-' || pair_no, 'synthesis', {_q(SYNTHESIS)} || chr(10) || chr(10) || 'Paper 1: ' || coalesce(a.title, '') || {EXCERPT.format('a.', 400)}
+            || chr(10) || chr(10) || 'Paper 2: ' || coalesce(b.title, '') || {EXCERPT.format('b.', 400)},
+            {passage('a.', 400)} || chr(10) || chr(10) || {passage('b.', 400)}, paper_a || ',' || paper_b
+        FROM pairs JOIN {CHUNKS} a ON a.chunk_id = first JOIN {CHUNKS} b ON b.chunk_id = second
+    )
+"""
+INSTRUCTION = (
+    "You answer research questions from the passages below only. Name the paper behind each point, and say so when the passages are not enough."
+)
+SAMPLES = f"""
+    {REQUESTS}, samples AS (
+        SELECT sample, type, {_q(INSTRUCTION)} AS instruction, context || chr(10) || chr(10) || 'Question: What does text ' || md5(prompt) || ' say?' AS input,
+            'Text ' || md5(prompt) || ' has ' || length(prompt) || ' characters.' AS output, source_arxiv_id, md5('42:' || sample) AS order_key
+        FROM requests WHERE prompt IS NOT NULL
+    )
+"""
+
 RANKED_LISTS = """
     lists AS (SELECT item_id, source_ids AS found, list_transform(source_ids, lambda x, i: CASE WHEN list_contains(expected_ids, x) THEN i END) AS ranks FROM eval_details),
     scored AS (
@@ -333,14 +402,6 @@ ORACLE: dict[str, str] = {
             FROM (SELECT q.vec_id AS query_id, e.vec_id, {DISTANCE} AS distance FROM embeddings q CROSS JOIN embeddings e WHERE q.vec_id % 50 = 0)
         ) WHERE rank <= 10
     """,
-    "cosine_sanity": """
-        WITH cells AS (SELECT label, unnest(generate_series(1, len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
-        sums AS (SELECT label, i, avg(x) AS x FROM cells GROUP BY label, i),
-        means AS (SELECT label, list(x ORDER BY i) AS mean FROM sums GROUP BY label)
-        SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), mean), 6) AS same_label,
-            list_cosine_similarity(CAST(embedding AS DOUBLE[]), mean) > 0 AS is_near
-        FROM embeddings JOIN means USING (label) WHERE vec_id % 50 = 0
-    """,
     "cosine_contrast": """
         WITH cells AS (
             SELECT label, unnest(generate_series(1, len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE label IS NOT NULL
@@ -375,7 +436,7 @@ ORACLE: dict[str, str] = {
     """,
     "rag_prompt_batch": f"""
         WITH {HYBRID}, {CONTEXT}, prompts AS (
-            SELECT query_id, {_q(PROMPT[0])} || context || {_q(PROMPT[1])} || question || {_q(PROMPT[2])} AS p FROM context JOIN questions USING (query_id)
+            SELECT query_id, {_q(PASSAGES)} || context || {_q(ASKED)} || question || {_q(REQUEST)} AS p FROM context JOIN questions USING (query_id)
         ) SELECT query_id, length(p) AS n_chars, md5(p) AS digest FROM prompts
     """,
     "think_strip": f"""
@@ -392,9 +453,8 @@ ORACLE: dict[str, str] = {
             CASE WHEN length(q) > 10 AND length(a) > 20 THEN length(a) END AS n_answer FROM parsed
     """,
     "group_chunks_by_paper": f"""
-        SELECT arxiv_id, arg_min_null(title, (chunk_ord, chunk_id)) AS title, count(*) AS n_chunks,
-            arg_min(chunk_id, (chunk_ord, chunk_id)) AS first_chunk, arg_max(chunk_id, (chunk_ord, chunk_id)) AS last_chunk,
-            CAST(sum(CAST('0x' || substr(md5(chunk_id), 1, 8) AS BIGINT)) AS BIGINT) AS ids_sum FROM {CHUNKS} GROUP BY arxiv_id
+        SELECT arxiv_id, first_value(title) OVER w AS title, count(*) OVER (PARTITION BY arxiv_id) AS n_chunks,
+            row_number() OVER w - 1 AS pos, chunk_id FROM {CHUNKS} WINDOW w AS (PARTITION BY arxiv_id ORDER BY chunk_ord, chunk_id)
     """,
     "qa_sample_allocation": f"WITH {ALLOCATED} SELECT chunk_id, place, kind FROM placed",
     "qa_pairs": f"WITH {ALLOCATED} SELECT pair_no, first, second FROM pairs",
@@ -411,6 +471,12 @@ ORACLE: dict[str, str] = {
             UNION ALL SELECT 'synthesis', 'pair-' || pair_no, paper_a || ',' || paper_b FROM pairs
         ) SELECT *, md5('42:' || sample) AS order_key FROM made
     """,
+    "qa_requests": f"WITH {REQUESTS} SELECT sample, type, md5(prompt) AS prompt_digest, md5(context) AS context_digest, source_arxiv_id FROM requests",
+    "qa_samples": f"WITH {SAMPLES} SELECT sample, type, instruction, md5(input) AS input_digest, output, source_arxiv_id, order_key FROM samples",
+    "qa_sample_stats": f"""
+        WITH {SAMPLES} SELECT count(*) AS total, count_if(type = 'grounded') AS type1_grounded, count_if(type = 'synthesis') AS type2_synthesis,
+            count_if(type = 'refusal') AS type3_refusal FROM samples
+    """,
     "qa_type_counts": f"SELECT coalesce(lower({strip('type')}), 'unknown') AS type, count(*) AS n FROM {QA} GROUP BY 1",
     "chat_messages": f"""
         SELECT qa_id, CASE WHEN instruction IS NULL THEN 2 ELSE 3 END AS n_messages,
@@ -453,4 +519,19 @@ ORACLE: dict[str, str] = {
             round(avg(latency_seconds), 6) AS avg_latency, round(sum(latency_seconds), 2) AS total_time, count(*) AS total_questions FROM eval_details
     """,
     "eval_report_details": f"WITH {RANKED_LISTS} SELECT item_id, hit, round(rr, 6) AS rr, round(precision, 6) AS precision FROM scored",
+    "eval_report": f"""
+        WITH {RANKED_LISTS} SELECT 'baseline' AS label, 5 AS top_k, count(*) AS dataset_size, round(avg(hit::INT::DOUBLE), 6) AS hit_rate, round(avg(rr), 6) AS mrr,
+            round(avg(precision), 6) AS avg_precision, (SELECT round(avg(keyword_coverage), 6) FROM eval_details) AS avg_keyword_coverage,
+            (SELECT round(avg(source_hit::INT::DOUBLE), 6) FROM eval_details) AS source_hit_rate,
+            (SELECT round(avg(is_substantive::INT::DOUBLE), 6) FROM eval_details) AS substantive_rate,
+            (SELECT round(sum(latency_seconds), 2) FROM eval_details) AS total_time, count(*) AS n_details,
+            printf('%.2f%%', round(avg(hit::INT::DOUBLE) * 100, 2)) AS hit_rate_text,
+            (SELECT printf('%.2f%%', round(avg(keyword_coverage) * 100, 2)) FROM eval_details) AS coverage_text FROM scored
+    """,
+    "run_progress": """
+        WITH run AS (
+            SELECT item_id, sum(coalesce(latency_seconds, 0)) OVER (ORDER BY item_id) AS seconds, row_number() OVER (ORDER BY item_id) AS done, count(*) OVER () AS n
+            FROM eval_details
+        ) SELECT item_id, round(done * 60 / nullif(seconds, 0), 6) AS per_minute, round((n - done) / nullif(done * 60 / nullif(seconds, 0), 0), 6) AS minutes_left FROM run
+    """,
 }

@@ -36,6 +36,36 @@ def test_no_cartesian_products_and_pruned_scans(spark):
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in scan and "IsNotNull(text)" in scan
 
 
+def reads(spark, name):
+    """Columns that the scans of a query read."""
+    import re
+
+    return {c for schema in re.findall(r"ReadSchema: struct<(.*)>", QUERIES[name](spark, SF)._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))) for c in re.findall(r"(?:^|,)(\w+):", schema)}
+
+
+def test_first_rows_read_key_order_and_text_only(spark):
+    assert reads(spark, "chunk_text_clean") <= {"chunk_id", "chunk_ord", "chunked_at", "text", "_tmp_metadata_row_index", "_key", "_first"} | {"file_path", "row_index"}
+    assert "Sort" not in plan(QUERIES["chunk_text_clean"](spark, SF)).split("== Physical Plan ==")[1]
+
+
+LARGE = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.isdir(LARGE), reason="no test tables")
+@pytest.mark.parametrize("partitions", [4, 8])
+def test_numbering_at_scale(spark, partitions):
+    """Numbers over more rows than one sample of range bounds holds."""
+    tables = duck(LARGE)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        for name in ("index_metadata", "qa_sample_allocation", "qa_pairs", "qa_inputs", "qa_synthesis_inputs", "qa_dataset_union"):
+            same_rows(QUERIES[name](spark, LARGE), tables.sql(ORACLE[name]))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_top_k_stops_early(spark):
     assert "WindowGroupLimit" in plan(QUERIES["bm25_topk"](spark, SF))
 
