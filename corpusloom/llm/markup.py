@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import spread
+from ..runtime import Scratch, spread
+from .boilerplate import remove_passages
 
 KINDS = ("html", "markdown", "wiki", "latex")
 
@@ -78,6 +79,8 @@ LATEX = [
     re.compile(r"(?<!\\)\\[%&#_{}$](?!\w*\\)"),
     re.compile(r"\w~\\[a-zA-Z]+"),
 ]
+#: Where something was taken out.
+PLACE = re.compile("\x02(\\d+)\x03")
 #: Without one of these no rule can apply.
 ANY = re.compile(r"[<&*_`\[{\\$|~]|''|={2}|^[ \t]*[-+>#][ \t]|^[ \t]*[-=]{3}|#[ \t]", re.M)
 
@@ -125,7 +128,15 @@ def read_markup(text: str) -> tuple[set[str], str, list[str]]:
     """(kinds, text with code and formulas taken out, what was taken out)."""
     kinds: set[str] = set()
     kept: list[str] = []
-    text = _take_code(text.replace("\r\n", "\n"), kinds, kept)
+    text = text.replace("\r\n", "\n")
+    if "\x02" in text or "\x03" in text:  # what marks a place is taken out like code, so no text can forge a mark
+
+        def literal(m: re.Match) -> str:
+            kept.append(m.group())
+            return f"\x02{len(kept) - 1}\x03"
+
+        text = re.sub("[\x02\x03]", literal, text)
+    text = _take_code(text, kinds, kept)
 
     def inline(m: re.Match) -> str:
         kinds.add("markdown")
@@ -174,26 +185,87 @@ def _html(text: str) -> str:
     return html.unescape(TAG.sub("", text))
 
 
+#: What opens and closes inside LaTeX text, in the order in which they are tried.
+LATEX_TOKEN = re.compile(r"(?<![A-Za-z]:)\\([a-zA-Z]{2,})\*?((?:\[[^\]\n]*\])*)\{|\{\\(?:it|bf|em|tt|sc|rm|sl|small|large)\b[ \t]*|\\[{}]|[{}]")
+LEVELS = {"part": 1, "chapter": 1, "section": 1, "subsection": 2, "subsubsection": 3, "paragraph": 4}
+#: Commands whose argument names something and is no text.
+NAMING = {"cite", "citet", "citep", "ref", "eqref", "label", "pageref"}
+
+
+def _commands(text: str) -> str:
+    """Commands replaced by their arguments, however deep they are nested, in one pass over the text."""
+    out: list[str] = []
+    open_: list[tuple[int, str, str]] = []  # place of the opening in out, what stands for it, and for the closing
+    at = 0
+    for m in LATEX_TOKEN.finditer(text):
+        out.append(text[at : m.start()])
+        at = m.end()
+        token, name = m.group(), m.group(1)
+        if token == "}":
+            if open_:
+                place, before, after = open_.pop()
+                if before == "\x00":  # a naming command goes with all it holds
+                    del out[place:]
+                    if out and out[-1].endswith("~"):
+                        out[-1] = out[-1][:-1]
+                else:
+                    out[place] = before
+                    out.append(after)
+                continue
+        elif name in LEVELS:
+            open_.append((len(out), "\n" + "#" * LEVELS[name] + " ", "\n"))
+        elif name in NAMING:
+            open_.append((len(out), "\x00", ""))
+        elif name == "footnote":
+            open_.append((len(out), " (", ")"))
+        elif name in ("begin", "end"):
+            open_.append((len(out), token, "}"))
+        elif token[0] != "\\" and token != "{" or name:
+            open_.append((len(out), "", ""))
+        elif token == "{":
+            open_.append((len(out), "{", "}"))
+        out.append(token)
+    out.append(text[at:])
+    return "".join(out)
+
+
 def _latex(text: str) -> str:
-    level = {"part": 1, "chapter": 1, "section": 1, "subsection": 2, "subsubsection": 3, "paragraph": 4}
-    text = re.sub(r"\\(part|chapter|section|subsection|subsubsection|paragraph)\*?\{([^{}]*)\}", lambda m: "\n" + "#" * level[m.group(1)] + " " + m.group(2) + "\n", text)
+    text = re.sub(r"\\(?:begin|end)\{[a-zA-Z]+\*?\}(?:\[[^\]\n]*\])?", "", _commands(text))
     text = re.sub(r"^[ \t]*\\item\b[ \t]*", "- ", text, flags=re.M)
-    text = re.sub(r"~?\\(?:cite[tp]?|ref|eqref|label|pageref)\*?(?:\[[^\]\n]*\])*\{[^{}]*\}", "", text)
-    text = re.sub(r"\\(?:begin|end)\{[a-zA-Z]+\*?\}(?:\[[^\]\n]*\])?", "", text)
-    text = re.sub(r"\{\\(?:it|bf|em|tt|sc|rm|sl|small|large)\b[ \t]*([^{}]*)\}", r"\1", text)
-    text = re.sub(r"\\footnote\{([^{}]*)\}", r" (\1)", text)
-    for _ in range(3):
-        text = re.sub(r"(?<![A-Za-z]:)\\[a-zA-Z]{2,}\*?(?:\[[^\]\n]*\])?\{([^{}]*)\}", r"\1", text)
+    text = re.sub(r"[ \t]*\\item\b[ \t]*", "\n- ", text)
     text = re.sub(r"(?<=\w)~(?=[\w\\(])", " ", text)
     return re.sub(r"\\([%&#_{}$])", r"\1", text)
 
 
+def _templates(text: str) -> str:
+    """Wiki templates out, however deep they are nested; a term keeps its word."""
+    out: list[str] = []
+    open_: list[int] = []
+    at = 0
+    for m in re.finditer(r"\{\{|\}\}", text):
+        out.append(text[at : m.start()])
+        at = m.end()
+        if m.group() == "{{":
+            open_.append(len(out))
+            out.append("{{")
+        elif open_:
+            place = open_.pop()
+            inside = "".join(out[place + 1 :])
+            term = re.match(r"\s*term\s*\|([^|]*)", inside, re.I)
+            out[place:] = [term.group(1)] if term else []
+            if not term and text.startswith("\n", at):
+                at += 1
+        else:
+            out.append("}}")
+    out.append(text[at:])
+    return "".join(out)
+
+
 def _wiki(text: str) -> str:
     text = re.sub(r"^(={2,6})[ \t]*([^=\n].*?)\1[ \t]*$", lambda m: "#" * (len(m.group(1)) - 1) + " " + m.group(2).strip(), text, flags=re.M)
     text = re.sub(r"\[\[(?:File|Image):[^\[\]\n]*?(?:\|([^\[\]|\n]*))?\]\]", r"\1", text, flags=re.I)
     text = re.sub(r"\[\[(?:[^\[\]|\n]*\|)?([^\[\]|\n]*)\]\]", r"\1", text)
-    text = re.sub(r"\{\{\s*term\s*\|([^{}|]*)(?:\|[^{}]*)?\}\}", r"\1", text, flags=re.I)
-    text = re.sub(r"\{\{[^{}]*\}\}\n?", "", text)
+    text = _templates(text)
     text = re.sub(r"^[ \t]*\{\|[^\n]*\n?|^[ \t]*\|[-}][^\n]*\n?", "", text, flags=re.M)
     text = re.sub(r"^[ \t]*[!|](?!\[)[ \t]*([^\n]*?(?:!!|\|\|)[^\n]*)$", lambda m: re.sub(r"[ \t]*(?:!!|\|\|)[ \t]*", "\t", m.group(1)), text, flags=re.M)
     return re.sub(r"'{2,3}(?=[^\s'])([^'\n]*(?:'[^'\n]+)*?)'{2,3}", r"\1", text)
@@ -231,8 +303,9 @@ def clean_text(text: str | None) -> tuple[str | None, list[str]]:
         body = _wiki(body)
     if "markdown" in kinds:
         body = _markdown(body)
-    for _ in range(2):  # formulas may stand beside inline code that was taken out before
-        body = re.sub(r"\x02(\d+)\x03", lambda m: kept[int(m.group(1))], body)
+    for i, part in enumerate(kept):  # what was taken out later may hold what was taken out before
+        kept[i] = PLACE.sub(lambda m: kept[int(m.group(1))], part)
+    body = PLACE.sub(lambda m: kept[int(m.group(1))], body)
     body = re.sub(r"[ \t]+$", "", body, flags=re.M)
     body = re.sub(r"(?<=\S)  +(?=\S)", " ", re.sub(r"\n{3,}", "\n\n", body))
     return body.strip("\n"), [k for k in KINDS if k in kinds]
@@ -276,13 +349,16 @@ def record_kinds(tables: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
     return out
 
 
-def clean_records(tables: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
+def clean_records(tables: list[tuple[str, DataFrame, str, str]], scratch: Scratch) -> DataFrame:
     """(rec_table, rec_key, kinds, clean), distinct, over tables given as (name, table, key, text).
 
     Every record with a key is here, those without markup or text too; see :func:`strip_markup`.
+    The clean texts of a table are the pages of a host: passages that recur on many of them are
+    removed, see :func:`boilerplate.remove_passages`, and unique runs are kept.
     """
     out = None
     for name, df, key, text in tables:
-        cleaned = strip_markup(df, key, text).select(F.lit(name).alias("rec_table"), F.col(key).cast("string").alias("rec_key"), "kinds", "clean").distinct()
+        pages = remove_passages(strip_markup(df, key, text), scratch, "clean")
+        cleaned = pages.select(F.lit(name).alias("rec_table"), F.col(key).cast("string").alias("rec_key"), "kinds", "clean").distinct()
         out = cleaned if out is None else out.unionByName(cleaned)
     return out

@@ -40,7 +40,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return markup.clean_records(_marked_up(spark, sf_dir))
+    return markup.clean_records(_marked_up(spark, sf_dir), Scratch(spark, "p3"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

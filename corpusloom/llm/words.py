@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 _WORD: np.ndarray | None = None
+_SPACE: np.ndarray | None = None
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -34,24 +35,44 @@ def _powers(n: int) -> np.ndarray:
     return out
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words in order, index of the text each word is in); lower-cased."""
-    lowered = [t.lower() for t in texts]
-    joined = "\n".join(lowered)
+def is_space() -> np.ndarray:
+    """For each code point, whether it is white space."""
+    global _SPACE
+    if _SPACE is None:
+        _SPACE = np.frombuffer(bytes(chr(c).isspace() for c in range(sys.maxunicode + 1)), np.bool_)
+    return _SPACE
+
+
+def _runs(texts: list[str], chosen: np.ndarray, invert: bool = False) -> tuple[np.ndarray, ...]:
+    """(hash, text, first character, end) of every run of chosen characters of the texts."""
+    joined = "\n".join(texts)
     code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    inside = is_word_char()[code]
+    inside = chosen[code] != invert
+    ends = np.cumsum(np.array([len(t) for t in texts], np.int64) + 1)
+    inside[ends[:-1] - 1] = False  # the line ends between texts
     edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
     begin, end = edge[::2], edge[1::2]
     if not len(begin):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    long = int((end - begin).max())
+        none = np.empty(0, np.int64)
+        return np.empty(0, np.uint64), none, none, none
     where = np.flatnonzero(inside)
     length = end - begin
     place = np.arange(len(where)) - np.repeat(np.cumsum(length) - length, length)
-    terms = (code[where].astype(np.uint64) + np.uint64(0x1F123BB5)) * _powers(long)[place]
+    terms = (code[where].astype(np.uint64) + np.uint64(0x1F123BB5)) * _powers(int(length.max()))[place]
     hashes = mix(np.add.reduceat(terms, np.cumsum(length) - length) + length.astype(np.uint64))
-    ends = np.cumsum(np.array([len(t) for t in lowered], np.int64) + 1)
-    return hashes, np.searchsorted(ends, begin, side="right")
+    owner = np.searchsorted(ends, begin, side="right")
+    shift = np.r_[0, ends[:-1]][owner]
+    return hashes, owner, begin - shift, end - shift
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words in order, index of the text each word is in); lower-cased."""
+    return _runs([t.lower() for t in texts], is_word_char())[:2]
+
+
+def token_hashes(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """(hash, text, first character, end) of every white-space separated token."""
+    return _runs(texts, is_space(), True)
 
 
 def run_hashes(words: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -204,6 +204,21 @@ def test_clean_keeps_structure():
     assert markup.clean_text("\\section{One}\n\\begin{itemize}\n\\item a\n\\end{itemize}")[0].split() == ["#", "One", "-", "a"]
 
 
+@pytest.mark.parametrize(
+    "text, clean",
+    [
+        ("**bold** \x0299\x03 end", "bold \x0299\x03 end"), ("**b** `a` \x020\x03 \x03", "b a \x020\x03 \x03"),
+        ("\\textbf{\\emph{\\textit{\\textsc{\\texttt{deep}}}}} x", "deep x"), ("\\emph{" * 3000 + "deep" + "}" * 3000, "deep"),
+        ("\\section{The \\emph{x} way}\nword~\\cite{a{b}c} on\\footnote{see \\textbf{b}}.", "# The x way\n\nword on (see b)."),
+        ("see {{a|{{b|c}}|d}}[[z|y]] {{term|{{x}}w}}", "see y w"), ("{{a|" * 2000 + "}}" * 2000 + "[[b]]", "b"), ("[[a]] {{open", "a {{open"),
+        ("\\emph{never closed, {a} and C:\\dir{b}", "\\emph{never closed, {a} and C:\\dir{b}"),
+        ("$$x `y` $$ and `a $b$ c`", "$$x y$$ and a $b$ c"), ("\\begin{itemize}[x] \\item one \\item two \\end{itemize}", "- one\n- two"),
+    ],
+)
+def test_clean_text_has_no_depth_it_stops_at(text, clean):
+    assert markup.clean_text(text)[0].strip() == clean
+
+
 def test_record_kinds(spark):
     df = spark.createDataFrame([("a", "<b>x</b>"), ("a", "<b>x</b>"), ("b", None), ("c", "x" * 300_000), (None, "# x")], "id string, text string").withColumn("kinds", F.lit(1))
     got = [tuple(r) for r in markup.record_kinds([("t", df, "id", "text")]).collect()]
