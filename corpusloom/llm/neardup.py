@@ -58,6 +58,14 @@ EACH = len(ROUTES[0][2])
 #: Min-hashes cut to four bits that thin out chance collisions before verification; the first are
 #: those of the signatures.
 NIBBLES = 64
+#: Bytes of one part of the buckets, about; a task reads its parts one after another, so this and not
+#: the table decides what it holds. A text has 21 rows of 61 bytes.
+PART_BYTES = 8 << 20
+TEXT_BYTES = 21 * 61
+#: Tasks of one pass at most; beyond so many parts each task reads several.
+MOST_TASKS = 20_000
+#: Members of a bucket or group that meet in one task.
+SALTED = 20_000
 #: A bucket of more distinct texts than this is compared by leaders, not by all of its pairs.
 SMALL_BUCKET = 128
 
@@ -203,66 +211,75 @@ def _bucket_blobs(df: DataFrame, text: str, width: int, parts: int) -> DataFrame
 
 
 def _candidates(blobs: DataFrame, parts: int, similarity: float) -> DataFrame:
-    """(run, a, b, hot): pairs of texts of one bucket whose sketches agree enough.
+    """(run, a, b, hot, sketch): pairs of texts of one bucket whose sketches agree enough.
 
     A bucket of at most SMALL_BUCKET texts compares its pairs. In a larger one (copies of one
     text, or texts that share their rarest runs by chance) each text not taken in yet becomes a
     leader, meets all others, and takes in those that agree in :func:`taken_in` places, which needn't
     meet each other, as they are linked through the leader. All texts taken in, by one leader too,
-    are listed (a = b, hot, run = the bucket) for :func:`_rest_of_hot`, which compares those that
+    are listed (a = b, hot, run = the bucket, with their sketch) for :func:`_rest_of_hot`, which compares those that
     aren't connected in the end.
     """
     need, enough = least_agreement(similarity), taken_in(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[bytes, ...]]] = {}
+        current, rows = None, []
         for batch in batches:
             for p, *row in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                held.setdefault(p, []).append(tuple(row))
-        for p in sorted(held):
-            rows = held.pop(p)
-            ids = np.concatenate([np.frombuffer(r[0], np.int64) for r in rows])
-            sketches = np.concatenate([np.frombuffer(r[1], np.uint64).reshape(-1, NIBBLES // 16) for r in rows])
-            route = np.concatenate([np.frombuffer(r[2], np.uint8) for r in rows]).astype(np.int64)
-            key = np.concatenate([np.frombuffer(r[3], np.uint32).reshape(-1, EACH) for r in rows]).astype(np.int64)
-            key = (((route * EACH)[:, None] + np.arange(EACH)) << 32 | key).ravel()
-            at = np.repeat(np.arange(len(ids)), EACH)
-            del rows, route
-            order = np.lexsort((ids[at], key))
-            key, at = key[order], at[order]
-            new = np.ones(len(key), bool)  # equal texts of other tasks
-            new[1:] = (key[1:] != key[:-1]) | (ids[at[1:]] != ids[at[:-1]])
-            key, at = key[new], at[new]
-            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            sizes = np.diff(np.r_[starts, len(key)])
-            left, right = [], []
-            for size in np.unique(sizes):
-                if size < 2:
-                    continue
-                of = starts[sizes == size]
-                if size <= SMALL_BUCKET:
-                    i, j = np.triu_indices(size, 1)
-                    for block in np.array_split(of, max(1, len(of) * len(i) // 2_000_000)):
-                        x, y = at[(block[:, None] + i).ravel()], at[(block[:, None] + j).ravel()]
-                        ok = agreement(sketches[x], sketches[y]) >= need
-                        left.append(ids[x[ok]])
-                        right.append(ids[y[ok]])
-                else:
-                    for s in of:
-                        own = at[s : s + size]
-                        x, y, led = _by_leaders(sketches[own], need, enough)
-                        left.append(ids[own[x]])
-                        right.append(ids[own[y]])
-                        taken = ids[own[led >= 0]]
-                        if len(taken) > 1:
-                            yield _pairs(np.full(len(taken), key[s]), taken, taken, True)
-            if left:
-                a, b = np.concatenate(left), np.concatenate(right)
-                a, b = np.minimum(a, b), np.maximum(a, b)
-                both = np.unique(np.stack([a, b], 1), axis=0)
-                yield _pairs(np.zeros(len(both), np.int64), both[:, 0], both[:, 1], False)
-
-    return blobs.repartitionById(parts, F.col("part")).mapInArrow(run, "run bigint, a bigint, b bigint, hot boolean")
+                if p != current and rows:
+                    yield from compare(rows)
+                    rows = []
+                current = p
+                rows.append(row)
+        if rows:
+            yield from compare(rows)
+
+    def compare(rows: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
+        ids = np.concatenate([np.frombuffer(r[0], np.int64) for r in rows])
+        sketches = np.concatenate([np.frombuffer(r[1], np.uint64).reshape(-1, NIBBLES // 16) for r in rows])
+        route = np.concatenate([np.frombuffer(r[2], np.uint8) for r in rows]).astype(np.int64)
+        key = np.concatenate([np.frombuffer(r[3], np.uint32).reshape(-1, EACH) for r in rows]).astype(np.int64)
+        key = (((route * EACH)[:, None] + np.arange(EACH)) << 32 | key).ravel()
+        at = np.repeat(np.arange(len(ids)), EACH)
+        order = np.lexsort((ids[at], key))
+        key, at = key[order], at[order]
+        new = np.ones(len(key), bool)  # equal texts of other tasks
+        new[1:] = (key[1:] != key[:-1]) | (ids[at[1:]] != ids[at[:-1]])
+        key, at = key[new], at[new]
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        sizes = np.diff(np.r_[starts, len(key)])
+        left, right = [], []
+        for size in np.unique(sizes):
+            if size < 2:
+                continue
+            of = starts[sizes == size]
+            if size <= SMALL_BUCKET:
+                i, j = np.triu_indices(size, 1)
+                for block in np.array_split(of, max(1, len(of) * len(i) // 500_000)):
+                    x, y = at[(block[:, None] + i).ravel()], at[(block[:, None] + j).ravel()]
+                    ok = agreement(sketches[x], sketches[y]) >= need
+                    left.append(ids[x[ok]])
+                    right.append(ids[y[ok]])
+            else:
+                for s in of:
+                    own = at[s : s + size]
+                    x, y, led = _by_leaders(sketches[own], need, enough)
+                    left.append(ids[own[x]])
+                    right.append(ids[own[y]])
+                    taken = own[led >= 0]
+                    if len(taken) > 1:
+                        yield _pairs(np.full(len(taken), key[s]), ids[taken], ids[taken], sketches[taken])
+        if left:
+            a, b = np.concatenate(left), np.concatenate(right)
+            a, b = np.minimum(a, b), np.maximum(a, b)
+            both = np.unique(np.stack([a, b], 1), axis=0)
+            yield _pairs(np.zeros(len(both), np.int64), both[:, 0], both[:, 1], None)
+
+    tasks = min(parts, MOST_TASKS)
+    placed = blobs.repartitionById(tasks, F.pmod(F.col("part"), F.lit(tasks)))
+    if tasks < parts:
+        placed = placed.sortWithinPartitions("part")  # so that a task holds one part at a time
+    return placed.mapInArrow(run, "run bigint, a bigint, b bigint, hot boolean, sketch binary")
 
 
 def _by_leaders(sketches: np.ndarray, need: int, enough: int = NIBBLES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -284,10 +301,12 @@ def _by_leaders(sketches: np.ndarray, need: int, enough: int = NIBBLES) -> tuple
     return np.concatenate(left), np.concatenate(right), led
 
 
-def _pairs(run, a, b, hot: bool) -> pa.RecordBatch:
+def _pairs(run, a, b, sketches: np.ndarray | None) -> pa.RecordBatch:
+    n, hot = len(a), sketches is not None
+    shown = pa.array([x.tobytes() for x in sketches], pa.binary()) if hot else pa.nulls(n, pa.binary())
     return pa.RecordBatch.from_arrays(
-        [pa.array(run, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.full(len(a), hot))],
-        names=["run", "a", "b", "hot"],
+        [pa.array(run, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.full(n, hot)), shown],
+        names=["run", "a", "b", "hot", "sketch"],
     )
 
 
@@ -345,12 +364,12 @@ def near_duplicate_groups(
     n squared by 2**65.
     """
     spark = df.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     source = df.where(F.col(key).isNotNull() & F.col(text).isNotNull())
-    members = scratch.table(_members(source, key, text, width).distinct())
+    members, n = scratch.counted(_members(source, key, text, width).distinct())
+    parts = max(spark.sparkContext.defaultParallelism, -(-n * TEXT_BYTES // PART_BYTES))
     found = scratch.table(_candidates(_bucket_blobs(source, text, width, parts), parts, similarity))
     pairs = scratch.table(found.where("not hot").select("a", "b").distinct())
-    hot = found.where("hot").select("run", F.col("a").alias("fp"))
+    hot = found.where("hot").select("run", F.col("a").alias("fp"), "sketch")
 
     named = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp")))
     named = named.unionByName(hot.select("fp")).distinct()
@@ -367,7 +386,7 @@ def near_duplicate_groups(
     edges = links.unionByName(by_key)
     if not hot.isEmpty():
         part = connected_components(edges, scratch)
-        extra = scratch.table(_verify(_rest_of_hot(hot, part), sets, similarity))
+        extra = scratch.table(_verify(_rest_of_hot(hot, part, similarity), sets, similarity))
         edges = edges.unionByName(extra)
     roots = connected_components(edges, scratch)
     grouped = members.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select(
@@ -378,23 +397,47 @@ def near_duplicate_groups(
     return grouped.join(full, "group", "left_semi").select(key, "group")
 
 
-def _rest_of_hot(hot: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of a large bucket that the links so far leave apart.
+def _rest_of_hot(hot: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of a large bucket that the links so far leave apart, thinned by their sketches.
 
-    Those listed were taken in by leaders, so nearly all of a bucket are in one component by now,
-    and only the few others are still compared with it.
+    Those listed were taken in by leaders, so nearly all of a bucket are in one component by now.
+    The texts outside its largest component meet all others of the bucket; those inside never
+    meet each other. Members meet in shares of at most SALTED, to which the outsiders are sent.
     """
-    placed = hot.distinct().join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
-    placed = placed.select("run", "fp", F.coalesce("root", "fp").alias("root"))
-    mixed = placed.groupBy("run").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("run")
-    placed = placed.join(mixed, "run", "left_semi")
-    x = placed.select("run", F.col("fp").alias("a"), F.col("root").alias("ra"))
-    y = placed.select("run", F.col("fp").alias("b"), F.col("root").alias("rb"))
-    return x.join(y, "run").where("ra < rb").select("a", "b").distinct()
+    placed = hot.dropDuplicates(["run", "fp"]).join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
+    placed = placed.select("run", "fp", "sketch", F.coalesce("root", "fp").alias("root"))
+    parts = placed.groupBy("run", "root").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("run").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("roots"))
+    mixed = mixed.where("roots > 1").select("run", "main", F.ceil(F.col("n") / SALTED).cast("int").alias("shares"))
+    placed = placed.join(mixed, "run")
+    outside = placed.where("root <> main").select("run", F.col("fp").alias("a"), F.col("root").alias("ra"), F.col("sketch").alias("x"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    others = placed.select("run", F.col("fp").alias("b"), F.col("root").alias("rb"), "main", F.col("sketch").alias("y"), F.pmod(F.xxhash64("fp"), "shares").cast("int").alias("share"))
+    met = outside.join(others, ["run", "share"]).where("ra <> rb and (rb = main or a < b)")
+    need = least_agreement(similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, NIBBLES // 16) for c in (2, 3))
+                at = pa.array(np.flatnonzero(agreement(x, y) >= need))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
+
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "x", "y")
+    return pairs.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def group_pairs(groups: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """(key_a, key_b) with key_a < key_b: each pair of one group."""
-    a = groups.select("group", F.col(key).alias(f"{key}_a"))
-    b = groups.select("group", F.col(key).alias(f"{key}_b"))
-    return a.join(b, "group").where(F.col(f"{key}_a") < F.col(f"{key}_b")).select(f"{key}_a", f"{key}_b").distinct()
+    """(key_a, key_b) with key_a < key_b: each pair of one group.
+
+    Large groups meet in shares of at most SALTED members, to each of which all members are sent,
+    so a group of any size is spread over tasks. The pairs of a group grow with its square; the
+    groups themselves are the smaller result.
+    """
+    own = groups.select("group", F.col(key).alias("_k")).distinct()
+    shares = own.groupBy("group").agg(F.ceil(F.count("*") / SALTED).cast("int").alias("_shares"))
+    placed = own.join(shares, "group")
+    a = placed.select("group", F.col("_k").alias(f"{key}_a"), F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)).alias("_share"))
+    b = placed.select("group", F.col("_k").alias(f"{key}_b"), F.pmod(F.xxhash64("_k"), "_shares").cast("int").alias("_share"))
+    met = a.join(b, ["group", "_share"]).where(F.col(f"{key}_a") < F.col(f"{key}_b"))
+    # A key with several texts is in one group by all of them, so a pair comes once.
+    return met.select(f"{key}_a", f"{key}_b")

@@ -130,5 +130,37 @@ def test_followers_of_one_leader_are_listed(spark):
     assert {r["a"] for r in found if r["hot"]} == set(range(1, n))
 
 
+def test_large_bucket_at_the_usual_similarity(spark, monkeypatch):
+    """A bucket beyond every bound: few of its texts are in reach of the leader, and shares are small."""
+    monkeypatch.setattr(neardup, "SMALL_BUCKET", 8)
+    monkeypatch.setattr(neardup, "SALTED", 7)
+    monkeypatch.setattr(neardup, "PART_BYTES", 2000)
+    monkeypatch.setattr(neardup, "MOST_TASKS", 3)
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(90):
+        text = list(base)
+        for _ in range(rng.randrange(1, 7)):
+            text[rng.randrange(150)] = f"edit{i}x{rng.randrange(9)}"
+        rows.append((f"k{i:03d}", " ".join(text)))
+    assert found(spark, rows, 5, 0.8) == brute(rows, 5, 0.8)
+    assert found(spark, rows, 3, 0.5) == brute(rows, 3, 0.5)
+
+
+def test_rest_of_hot_compares_across_components(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(neardup, "SALTED", 4)
+    same, far = np.zeros(neardup.NIBBLES // 16, np.uint64).tobytes(), np.full(neardup.NIBBLES // 16, 2**64 - 1, np.uint64).tobytes()
+    roots = {i: 0 for i in range(10)} | {10: 10, 11: 10, 13: 13}
+    hot = [(7, i, bytearray(far if i in (3, 12) else same)) for i in range(13)] + [(8, i, bytearray(same)) for i in range(5)] + [(9, 13, bytearray(same)), (9, 1, bytearray(same))]
+    got = neardup._rest_of_hot(
+        spark.createDataFrame(hot, "run long, fp long, sketch binary"), spark.createDataFrame(list(roots.items()), "node long, root long"), 0.8
+    ).collect()
+    near = [i for i in range(10) if i != 3]
+    assert {tuple(r) for r in got} == {(i, j) for i in near for j in (10, 11)} | {(3, 12), (1, 13)}
+
+
 def test_leaders_take_in_by_similarity():
     assert neardup.taken_in(0.5) == 48 and neardup.taken_in(0.8) == 63 and neardup.taken_in(1.0) == 64
