@@ -53,6 +53,23 @@ def first_rows(stored: DataFrame, key: str, order: list[Column], columns: list[s
     return joined.where(F.col("_first").isNull() | (F.col("_first") == F.col("_at"))).select(*columns)
 
 
+def distinct_rows(df: DataFrame, scratch: Scratch) -> DataFrame:
+    """``df.distinct()`` without a shuffle of rows that aren't repeated, for rows with long texts.
+
+    Hashes are counted first; only rows whose hash occurs more than once are compared whole. The
+    repeated hashes are broadcast up to :data:`SENT_KEYS` and joined by a hash table beyond.
+    ``df`` must give the same rows when it is read again.
+    """
+    whole = df.withColumn("_row_hash", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    repeated, n = scratch.counted(whole.groupBy("_row_hash").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("_row_hash").alias("_repeated")))
+    if not n:
+        return df
+    side = F.broadcast(repeated) if n <= SENT_KEYS else repeated.hint("shuffle_hash")
+    same = F.col("_row_hash") == F.col("_repeated")
+    some = whole.join(side, same, "left_semi").drop("_row_hash").distinct()
+    return whole.join(side, same, "left_anti").drop("_row_hash").unionByName(some)
+
+
 def resume_union(existing: DataFrame, found: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """What exists, and of what was found the first of each key that doesn't exist yet."""
     new = keep_first(found, key, order).join(existing.select(key), key, "left_anti")

@@ -44,6 +44,15 @@ def test_first_rows(spark, tmp_path, monkeypatch):
     assert ingest.first_rows(stored.where("false"), "k", [F.col("o")], ["k"], Scratch(spark, "t")).count() == 0
 
 
+def test_distinct_rows(spark, monkeypatch):
+    rows = [("a", "x"), ("a", "x"), ("b", None), ("b", None), (None, None), ("c", "y")]
+    df = spark.createDataFrame(rows, "k string, `t.t` string")
+    for sent in (ingest.SENT_KEYS, 0):
+        monkeypatch.setattr(ingest, "SENT_KEYS", sent)
+        assert sorted(map(str, ingest.distinct_rows(df, Scratch(spark, "t")).collect())) == sorted(map(str, df.distinct().collect()))
+    assert ingest.distinct_rows(df.limit(0), Scratch(spark, "t")).count() == 0
+
+
 def test_download_keeps_going(spark, tmp_path):
     def fetch(url, path):
         if "bad" in url:
