@@ -72,10 +72,13 @@ class LinearChain:
                 param += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         return self
 
-    def decode(self, features: list[list[int]]) -> list[int]:
+    def decode(self, features: list[list[int]], barred: list[tuple[int, int]] = ()) -> list[int]:
+        """The best labels of one sequence; ``barred`` are (item, label) pairs that it can't have."""
         if not features:
             return []
         s = np.array([self.weights[f].sum(axis=0) for f in features])
+        for t, label in barred:
+            s[t, label] = -1e9
         best, back = s[0] + self.begin, []
         for row in s[1:]:
             step = best[:, None] + self.moves

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import pickle
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,8 +27,8 @@ REFUSAL_ROWS, OTHER_ROWS = 700, 2300
 TRAIN_PARTS = 8
 #: Words of a part that is tagged by itself; longer clauses are cut into several parts.
 PART_WORDS = 22
-#: Hashed features, and how many of them a part may have: rules, words and pairs of words.
-FEATURES, WIDTH = 1 << 14, 14 + 2 * PART_WORDS
+#: Features that rules give, and how many features a part may have: rules, words and pairs of words.
+RULES, WIDTH = 64, 17 + 2 * PART_WORDS
 #: Words in fewer training clauses than this teach nothing; they would only tell single rows apart.
 LEAST_SEEN = 4
 
@@ -62,12 +62,21 @@ SCRIPTS = [
     ("ru", re.compile(r"[Ѐ-ӿ]")), ("ar", re.compile(r"[؀-ۿ]")), ("el", re.compile(r"[Ͱ-Ͽ]")), ("he", re.compile(r"[֐-׿]")),
 ]
 
-#: Our own examples, so that the tagger knows refusals where the data label none.
+#: Rows of the sample of which damaged copies are made, so that the tagger sees every tag however rare it is:
+#: each answer cut off in its last third, and its question as the answer.
+DAMAGED_ROWS = 100
+#: Our own examples, so that the tagger knows refusals and other languages where the data show none.
 SEED_REFUSALS = [
     "I can't answer that.", "I cannot answer this question with what I was given.", "Sorry, I am not able to help.", "I don't know.",
     "The context doesn't contain enough information.", "There is no way to tell from these passages.", "I must decline.",
     "Unfortunately, this is not covered by the text.", "I am unable to say.", "I won't comment on this.", "The sources do not mention it.",
 ]
+SEED_FOREIGN = [
+    "Das Modell verringert die Laufzeit auf dem zweiten Datensatz, weil der Speicher nicht reicht.", "Wir prüfen, ob die Gewichtung den Abstand bei langen Texten wirklich bestimmt.",
+    "Le modèle réduit la mémoire utilisée pour les textes longs, car la requête ne change plus.", "Les auteurs comparent les deux méthodes sur ce corpus et ne trouvent pas de différence.",
+    "El modelo mejora la cobertura en los textos largos, porque la consulta ya no limita el tiempo.", "Comparamos los dos métodos para saber si el índice reduce la tasa de error.",
+    "模型在第二个数据集上降低了错误率。", "このモデルは長い文章の誤り率を下げます。", "Модель снижает долю ошибок на длинных текстах.",
+]
 SEED_ANSWERS = [
     "It improves the score by two points.", "The model cannot run without the cache, which the authors accept.", "Yes.", "No.",
     "The authors do not give the first figure, but they report 12.5 for the second.", "About 40 percent of the rows.",
@@ -143,12 +152,10 @@ def is_unfinished(text: str) -> bool:
     return breaks_off(text) is not None
 
 
-def _hash(kind: str, value: str) -> int:
-    return 64 + zlib.crc32(f"{kind}\x1f{value}".encode()) % (FEATURES - 64)
-
+def clause_features(output: str, question: str) -> tuple[list[str], list[tuple[list[int], list[str]]], list[dict]]:
+    """(clauses, features of their parts, what the weak labels need of each) of one response.
 
-def clause_features(output: str, question: str) -> tuple[list[str], list[list[int]], list[dict]]:
-    """(clauses, feature numbers of their parts, what the weak labels need of each) of one response.
+    A part's features are the numbers of what rules see in it, and the words and pairs of words it has.
 
     A clause of more than PART_WORDS words has several consecutive parts, of equal length but for a
     word; each word is in one part and each pair of neighbours in that of its second word.
@@ -181,12 +188,10 @@ def clause_features(output: str, question: str) -> tuple[list[str], list[list[in
         f = [1, 2 + min(9, int(echo * 10)), 14 + foreign, 16 + (2 if last and open_end else 1 if last else 0)]
         f += f[1:] * 3  # what is told by a rule weighs more than any word
         if len(words) >= 5 and echo >= 0.75:
-            f.append(33)
+            f += 4 * [33]
         # Words count by their language and whether it is the question's, lest a language itself tells.
         tongue = f"{spoken}{foreign:d} "
-        f += [_hash("w", tongue + w) for w in words]
-        f += [_hash("b", tongue + a + " " + b) for a, b in zip(linked, linked[1:])]
-        numbers.append(f)
+        numbers.append((f, [tongue + w for w in words] + [f"{tongue}{a} {b}" for a, b in zip(linked, linked[1:])]))
     return found, numbers, facts
 
 
@@ -205,40 +210,63 @@ def weak_tags(facts: list[dict], kind: str) -> list[int]:
     return out
 
 
-def fit_tagger(rows: list[tuple[str, str, str]]) -> LinearChain:
+class Tagger:
+    """A fitted chain and the words it knows; a word it has not learned says nothing."""
+
+    def __init__(self, chain: LinearChain, vocabulary: dict[str, int]):
+        self.chain, self.vocabulary = chain, vocabulary
+
+    def decode(self, parts: list[tuple[list[int], list[str]]]) -> list[int]:
+        """The tags of a response's parts.
+
+        What makes a refusal is its words, so a part without a word that was learned is none.
+        """
+        known = [[self.vocabulary[w] for w in words if w in self.vocabulary] for _, words in parts]
+        barred = [(t, REFUSAL) for t, k in enumerate(known) if not k]
+        return self.chain.decode([rules + k for (rules, _), k in zip(parts, known)], barred)
+
+    def save(self, path: str) -> None:
+        with open(path, "wb") as f:
+            pickle.dump(self, f)
+
+    @staticmethod
+    def load(path: str) -> Tagger:
+        """A tagger saved before; only from files of your own, as for any pickle."""
+        with open(path, "rb") as f:
+            return pickle.load(f)
+
+
+def fit_tagger(rows: list[tuple[str, str, str]]) -> Tagger:
     """A tagger from labelled rows (type, prompt, output); refusals the data label teach refusal."""
     examples = [(k, question_of(q), o) for k, q, o in rows if o and any(map(str.isalnum, o))]
     examples += LEAST_SEEN * [("refusal", "What does the model change?", o) for o in SEED_REFUSALS]
+    plain = [(k, q, o) for k, q, o in examples if k != "refusal" and len(o) > 30][:DAMAGED_ROWS]
+    examples += [(k, q, o[: len(o) * 5 // 6].rstrip()) for k, q, o in plain] + [(k, q, q) for k, q, _ in plain]
     examples += LEAST_SEEN * [("grounded", "What does the model change?", o) for o in SEED_ANSWERS]
+    examples += 2 * LEAST_SEEN * [("grounded", "What does the model change in the table of results?", o) for o in SEED_FOREIGN]
     spoken = Counter(language(q) for _, q, _ in examples)
     usual = spoken.most_common(1)[0][0]
     made = []
     for kind, question, output in examples:
-        if language(question) not in (usual, None):
+        _, parts, facts = clause_features(output, question)
+        if language(question) not in (usual, None) or language(output) not in (usual, None) and not any(x["foreign"] for x in facts):
             continue  # too few to tell a refusal's words from the language's
-        _, numbers, facts = clause_features(output, question)
-        if numbers:
-            made.append((numbers[-TRAIN_PARTS:], weak_tags(facts, kind)[-TRAIN_PARTS:]))
-    # What rules tell without any word: nothing stands out in an answer, however often refusals come
-    # first; a foreign, unfinished or repeating clause is one whatever it says.
-    for echo in range(6):
-        for alien, end, tag in ((14, 16, ANSWER), (14, 17, ANSWER), (15, 16, FOREIGN), (15, 17, FOREIGN), (14, 18, UNFINISHED)):
-            made += 30 * [([[1] + 4 * [2 + echo, alien, end]], [tag])]
-    for echo in (7, 8, 9):
-        for end in (16, 17):
-            made += 30 * [([[1] + 4 * [2 + echo, 14, end] + [33]], [ECHO])]
-    time = max(len(n) for n, _ in made)
+        if parts:
+            made.append((parts[-TRAIN_PARTS:], weak_tags(facts, kind)[-TRAIN_PARTS:]))
+    counts = Counter(w for parts, _ in made for _, words in parts for w in words)
+    vocabulary = {w: RULES + i for i, w in enumerate(sorted(w for w, n in counts.items() if n >= LEAST_SEEN))}
+    time = max(len(parts) for parts, _ in made)
     x, y = np.zeros((len(made), time, WIDTH), np.int64), np.zeros((len(made), time), np.int64)
-    for i, (numbers, tags) in enumerate(made):
-        for t, f in enumerate(numbers):
+    for i, (parts, tags) in enumerate(made):
+        for t, (rules, words) in enumerate(parts):
+            f = rules + [vocabulary[w] for w in words if w in vocabulary]
             x[i, t, : len(f)] = f
         y[i, : len(tags)] = tags
-    seen = np.bincount(x.ravel(), minlength=FEATURES)
-    x[(seen[x] < LEAST_SEEN) & (x >= 64)] = 0
-    return LinearChain(len(TAGS), FEATURES).fit(x, y, np.array([len(n) for n, _ in made]), steps=120)
+    chain = LinearChain(len(TAGS), RULES + len(vocabulary)).fit(x, y, np.array([len(parts) for parts, _ in made]), steps=120)
+    return Tagger(chain, vocabulary)
 
 
-def pair_defect(kind: str | None, prompt: str | None, output: str | None, tagger: LinearChain) -> str | None:
+def pair_defect(kind: str | None, prompt: str | None, output: str | None, tagger: Tagger) -> str | None:
     """The defect of one pair, None for a sound one.
 
     The words of the tagged clauses decide: mostly foreign is ``language``; an echo without an
@@ -259,8 +287,6 @@ def pair_defect(kind: str | None, prompt: str | None, output: str | None, tagger
     # A frame around the question, of a few words, isn't an answer.
     if cover[ECHO] and cover[ANSWER] + cover[REFUSAL] + (cover[UNFINISHED] if len(found) > 1 else 0) <= 0.25 * cover[ECHO]:
         return "copy"
-    if len(found) == 1 and total >= 5 and sum(x["echo"] * x["words"] for x in facts) >= 0.75 * total:
-        return "copy"
     if tags[-1] == UNFINISHED:
         return "truncated"
     if cover[REFUSAL] >= 0.3 * total and kind not in ("refusal", None):
@@ -268,10 +294,20 @@ def pair_defect(kind: str | None, prompt: str | None, output: str | None, tagger
     return None
 
 
+def labelled_sample(rows: DataFrame, key: str) -> list[tuple[str, str, str]]:
+    """The rows a tagger is fitted to, of a table with kind, prompt and output: see REFUSAL_ROWS."""
+    labelled = rows.where("kind is not null and output is not null").withColumn("h", F.xxhash64(key))
+    out = []
+    for condition, n in (("kind = 'refusal'", REFUSAL_ROWS), ("kind <> 'refusal'", OTHER_ROWS)):
+        least = labelled.where(condition).orderBy("h", "output").limit(n)
+        out += [(r["kind"], r["prompt"], r["output"]) for r in least.collect()]
+    return out
+
+
 def broken_pairs(
-    df: DataFrame, key: str = "qa_id", kind: str = "type", prompt: str = "input", output: str = "output"
+    df: DataFrame, key: str = "qa_id", kind: str = "type", prompt: str = "input", output: str = "output", tagger: Tagger | None = None
 ) -> DataFrame:
-    """(key, defect): one row for each defective pair.
+    """(key, defect): one row for each defective pair, by ``tagger`` or one that is fitted to ``df``.
 
     Types are compared without case and outer blanks; a null or blank type counts as unknown, so
     such a row is never a ``refusal``. A null prompt asks nothing, so nothing can echo it. Null
@@ -282,19 +318,12 @@ def broken_pairs(
     rows = df.where(F.col(key).isNotNull()).select(
         F.col(key), F.nullif(F.lower(F.regexp_replace(kind, r"^\s+|\s+$", "")), F.lit("")).alias("kind"), F.col(prompt).alias("prompt"), F.col(output).alias("output")
     )
-    labelled = rows.where("kind is not null and output is not null").withColumn("h", F.xxhash64(key))
-    sample = []
-    for condition, n in (("kind = 'refusal'", REFUSAL_ROWS), ("kind <> 'refusal'", OTHER_ROWS)):
-        least = labelled.where(condition).orderBy("h", "output").limit(n)
-        sample += [(r["kind"], r["prompt"], r["output"]) for r in least.collect()]
-    tagger = fit_tagger(sample)
-    # The fitted weights have a fixed size, whatever the data.
-    weights = df.sparkSession.sparkContext.broadcast((tagger.weights.astype(np.float32), tagger.moves, tagger.begin))
+    # A fitted tagger has a bounded size, whatever the data: the words of its bounded sample.
+    sent = df.sparkSession.sparkContext.broadcast(tagger or fit_tagger(labelled_sample(rows, key)))
     id_type = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = LinearChain(len(TAGS), 1)
-        own.weights, own.moves, own.begin = weights.value
+        own = sent.value
         for b in batches:
             found = [pair_defect(*(x.as_py() for x in row), own) for row in zip(b.column(1), b.column(2), b.column(3))]
             at = pa.array([i for i, d in enumerate(found) if d], pa.int64())
