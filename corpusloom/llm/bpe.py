@@ -11,19 +11,23 @@ from __future__ import annotations
 
 import base64
 import heapq
+import hashlib
 import os
+import shutil
+import tempfile
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from ..runtime import spread
 
-#: Folder of the public vocabularies; a parameter of every operator that needs one.
+#: Folder of the public vocabularies on the driver; a parameter of every operator that needs one.
 TOKENIZER_DIR = os.environ.get("CORPUSLOOM_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -135,8 +139,20 @@ class Encoder:
         return array("i", self.packed(text)).tolist()
 
 
-def _path(folder: str | None, vocabulary: str) -> str:
-    return os.path.join(folder or TOKENIZER_DIR, vocabulary)
+_SHIPPED: dict[tuple[str, str], str] = {}
+
+
+def _ship(spark: SparkSession, folder: str | None, vocabulary: str) -> str:
+    """The name under which every executor has the driver's vocabulary file; it travels with the application."""
+    path = os.path.abspath(os.path.join(folder or TOKENIZER_DIR, vocabulary))
+    at = (spark.sparkContext.applicationId, path)
+    if at not in _SHIPPED:
+        # Files of one application are told apart by their names, so the name holds the path.
+        name = f"{hashlib.md5(path.encode()).hexdigest()[:12]}-{vocabulary}"
+        copy = shutil.copy(path, os.path.join(tempfile.mkdtemp(prefix="corpusloom-"), name))
+        spark.sparkContext.addFile(copy)
+        _SHIPPED[at] = name
+    return _SHIPPED[at]
 
 
 def encode_column(
@@ -148,11 +164,11 @@ def encode_column(
     empty list; names of special tokens are ordinary text; a text may have any length. Columns
     besides key and text are not read, so their names can't clash. An empty table gives none.
     """
-    path = _path(folder, vocabulary)
+    name = _ship(df.sparkSession, folder, vocabulary)
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed = Encoder.of(path).packed
+        packed = Encoder.of(SparkFiles.get(name)).packed
         names = [key, "ids"]
 
         def batch(keys: pa.Array, parts: list[bytes]) -> pa.RecordBatch:
@@ -184,14 +200,14 @@ def count_tokens(
 
     Raises ValueError if another column is called ``out``.
     """
-    path = _path(folder, vocabulary)
+    name = _ship(df.sparkSession, folder, vocabulary)
     kept = [c for c in df.columns if c != text]
     if out in kept:
         raise ValueError(f"the table has a column {out} already")
     schema = df.select(*[f"`{c}`" for c in kept]).schema.add(out, LongType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed = Encoder.of(path).packed
+        packed = Encoder.of(SparkFiles.get(name)).packed
         for b in batches:
             n = pa.array([len(packed(t.as_py())) >> 2 for t in b.column(len(kept))], pa.int64())
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(kept))], n], names=[*kept, out])

@@ -6,6 +6,7 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,8 +49,6 @@ def plan_amounts(sizes: dict[str, int], targets: dict[str, tuple[float, int]], t
 
 
 def _uniform(seed: int, *parts) -> float:
-    import xxhash
-
     return xxhash.xxh64_intdigest("\x1f".join(map(str, parts)).encode(), seed=seed) / 2.0**64
 
 

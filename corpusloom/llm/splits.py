@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
+from ..operators.ingest import SENT_KEYS
 from ..runtime import Scratch
 
 #: Fixed value: how a paper is named inside an identifier of any spelling.
@@ -39,7 +40,9 @@ def paper_groups(df: DataFrame, scratch: Scratch, key: str = "qa_id", source: st
     edges = named.join(several, "key").where("paper <> least").select(F.col("least").alias("a"), F.col("paper").alias("b")).distinct()
     roots = connected_components(edges, scratch)
     least = roots.groupBy("root").agg(F.min("node").alias("group_id"))
-    of = roots.join(least, "root").select(F.col("node").alias("paper"), "group_id")
+    of, n = scratch.counted(roots.join(least, "root").select(F.col("node").alias("paper"), "group_id"))
+    if n <= SENT_KEYS:  # else the samples of a paper named very often are split by adaptive execution
+        of = F.broadcast(of)
     return (
         samples.select(F.col("key").alias(key), F.col("least").alias("paper"))
         .join(of, "paper", "left")
@@ -93,4 +96,7 @@ def split_groups(
         previous = names[names.index(name) - 1]
         choice = F.when(F.col("middle") < F.lit(float(edge)), F.lit(previous)).otherwise(choice)
     others = rest.join(F.broadcast(offsets), "bucket").withColumn("middle", middle).select("_g", choice.alias("split"))
-    return own.join(first.unionByName(others), "_g").select(key, group, "split")
+    # The large groups are few and sent to the samples, so no key of the join that is left is hot.
+    placed = own.join(F.broadcast(first.withColumnRenamed("split", "_large")), "_g", "left")
+    rest = placed.where("_large is null").drop("_large").join(others, "_g").select(key, group, "split")
+    return placed.where("_large is not null").select(key, group, F.col("_large").alias("split")).unionByName(rest)
