@@ -44,9 +44,9 @@ def _line_is_whole(line: str, first: bool) -> bool:
     inside = SENTENCE_INSIDE.search(bare)
     words = bare.split()
     last = words[-1].lower().strip(",;:")
-    if LABELLED.match(bare) and not inside and len(bare) < 160:
+    if LABELLED.match(bare) and not inside:
         return last not in OPEN_END and bare[-1] not in ",;:"
-    if FORMULA.search(bare) and not inside and len(words) < 16:
+    if FORMULA.search(bare) and not inside:
         return True
     if last in OPEN_END or bare[-1] in ",;:-–(":
         return False

@@ -15,6 +15,8 @@ from .endings import CLOSED, breaks_off
 
 #: Characters that two texts must share at their start to be compared whole.
 PREFIX_CHARS = 64
+#: Characters of texts that one sorted range holds, about.
+RANGE_CHARS = 64 << 20
 #: Characters of the longer copy that are kept from where the shorter one ends.
 REST_CHARS = 16
 
@@ -70,7 +72,7 @@ def longer_copies(df: DataFrame, scratch: Scratch, key: str = "doc_id", text: st
         .where("body <> ''")
     )
     head = F.when(F.length("body") >= chars, F.xxhash64(F.substring("body", 1, chars)))
-    hashed = scratch.table(rows.select("key", "stopped", head.alias("head"), F.xxhash64("body").alias("whole")))
+    hashed = scratch.table(rows.select("key", "stopped", head.alias("head"), F.xxhash64("body").alias("whole"), F.length("body").alias("chars")))
     shared = (
         hashed.where("head is not null").groupBy("head").agg(F.min("whole").alias("lo"), F.max("whole").alias("hi")).where("lo <> hi").select("head")
     )
@@ -78,7 +80,8 @@ def longer_copies(df: DataFrame, scratch: Scratch, key: str = "doc_id", text: st
     some = rows.join(near.select("key"), "key", "left_semi").select("body")
     others = rows.select(head.alias("head"), F.substring("body", 1, chars + REST_CHARS).alias("body")).join(scratch.table(shared), "head", "left_anti").select("body")
     texts = some.unionByName(others).distinct().select(F.xxhash64("body").alias("whole"), F.translate("body", _CLOSING + _LAST, _LAST + _CLOSING).alias("body"))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    chars_in_all = hashed.agg(F.sum("chars")).first()[0] or 0
+    parts = max(spark.sparkContext.defaultParallelism, -(-chars_in_all // RANGE_CHARS))
     names = ["whole", "body", "rest", "edge"]
 
     def neighbours(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
