@@ -125,13 +125,23 @@ def test_pieces_cut_at_headings_and_sentences():
     assert all(p.endswith("ten.") or "ten." in p.split()[-1] for p, _, _ in sentences)
 
 
+def test_pieces_keep_the_borders_of_split_nodes():
+    section = lambda name, sizes: f"# {name}\n" + "\n\n".join(" ".join([name.lower() + "."] * n) for n in sizes)
+    text = "\n\n".join([section("A", [68]), section("B", [123, 124, 124, 124]), section("C", [58]), section("D", [100])])
+    parts = check_pieces(text, 450, 64)
+    own = [p.split()[shared:] for p, _, shared in parts]
+    assert [{w.strip(".").upper() for w in x} - {"#"} for x in own] == [{"A"}, {"B"}, {"B"}, {"C", "D"}]
+    short = check_pieces("\n\n".join([section("A", [50]), section("B", [300, 300])]), 450, 64)
+    assert len(short) == 2 and short[0][0].startswith("# A") and short[0][1] == 354
+
+
 def test_split_table(spark):
     rows = [("a", "s", "w " * 451), ("a", "s", "w " * 451), ("b", None, "w " * 450), ("c", "s", None), ("d", "", " "), (None, "s", "w\n" * 900)]
     df = spark.createDataFrame(rows, "chunk_id string, section string, text string").withColumn("piece", F.lit(1))
-    got = [tuple(r)[:5] for r in pieces.split_oversized(df).orderBy("chunk_id", "piece_no").collect()]
+    got = [tuple(r)[:5] for r in pieces.split_oversized(df, Scratch(spark, "t")).orderBy("chunk_id", "piece_no").collect()]
     assert [g for g in got if g[0] == "a"] == [("a", "s", 1, 2, 386), ("a", "s", 2, 2, 129)]
     assert {g[0] for g in got} == {"a", None}
-    assert pieces.split_oversized(df.limit(0)).count() == 0
+    assert pieces.split_oversized(df.limit(0), Scratch(spark, "t")).count() == 0
 
 
 # Leakage
@@ -151,7 +161,8 @@ def test_leaks(spark):
     assert leakage.leaked_items(df.limit(0), items).count() == 0 and leakage.leaked_items(df, items.limit(0)).count() == 0
 
 
-def test_leaks_with_edits_reach_recall(spark):
+@pytest.mark.parametrize("edits, repetitions", [(1, 16), (2, 16), (3, 32)])
+def test_leaks_with_edits_reach_recall(spark, edits, repetitions):
     rng = random.Random(6)
     names = [f"n{i}" for i in range(3000)]
     items, rows = [], []
@@ -159,10 +170,11 @@ def test_leaks_with_edits_reach_recall(spark):
         q = [rng.choice(names) for _ in range(12)]
         items.append((i, " ".join(q)))
         edited = list(q)
-        edited[rng.randrange(12)] = "changed"
+        for at in rng.sample(range(12), edits):
+            edited[at] = "changed"
         rows.append((i, "pad " + " ".join(edited) + " pad", ""))
     df = spark.createDataFrame(rows, "qa_id long, input string, output string")
-    found = leakage.leaked_items(df, spark.createDataFrame(items, "item_id long, question string"), width=12, max_edits=1, repetitions=16, sampled=6)
+    found = leakage.leaked_items(df, spark.createDataFrame(items, "item_id long, question string"), width=12, max_edits=edits, repetitions=repetitions, sampled=6)
     got = {tuple(r) for r in found.collect()}
     assert all(a == b for a, b in got) and len(got) >= 0.9 * 80
 
@@ -339,12 +351,27 @@ def test_long_clauses_are_tagged_to_their_end(tagger, output, defect):
 
 def test_every_word_and_pair_of_a_clause_is_a_feature():
     words = [f"w{i}" for i in range(100)]
-    found, numbers, facts = defects.clause_features(" ".join(words) + ".", "What is it?")
-    assert len(found) == 1 and sum(x["words"] for x in facts) == 100 and all(len(f) <= defects.WIDTH for f in numbers)
-    seen = {n for f in numbers for n in f}
+    found, parts, facts = defects.clause_features(" ".join(words) + ".", "What is it?")
+    assert len(found) == 1 and sum(x["words"] for x in facts) == 100 and all(len(f) + len(w) <= defects.WIDTH for f, w in parts)
+    seen = {w for _, own in parts for w in own}
     tongue = f"{defects.language(' '.join(words))}0 "
-    assert {defects._hash("w", tongue + w) for w in words} <= seen
-    assert {defects._hash("b", f"{tongue}{a} {b}") for a, b in zip(words, words[1:])} <= seen
+    assert {tongue + w for w in words} <= seen
+    assert {f"{tongue}{a} {b}" for a, b in zip(words, words[1:])} <= seen
+
+
+def test_words_never_learned_make_no_refusal(tagger):
+    """Plain answers in languages the sample lacks, whatever their words."""
+    rng = random.Random(8)
+    for _ in range(50):
+        text = " ".join("".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(9)).capitalize() + "."
+        assert defects.pair_defect("grounded", PROMPT, text, tagger) is None
+
+
+def test_a_tagger_is_stored(tagger, tmp_path):
+    tagger.save(str(tmp_path / "t"))
+    again = defects.Tagger.load(str(tmp_path / "t"))
+    parts = defects.clause_features("I cannot answer this from the passages. It stays.", "What is it?")[1]
+    assert again.decode(parts) == tagger.decode(parts) and defects.REFUSAL in again.decode(parts)
 
 
 def test_foreign_pair_is_sound(tagger):
@@ -357,3 +384,5 @@ def test_broken_pairs(spark):
     df = spark.createDataFrame(rows, "qa_id long, type string, input string, output string").withColumn("defect", F.lit(1)).withColumn("kind", F.lit(2))
     assert [tuple(r) for r in defects.broken_pairs(df).collect()] == [(1, "empty")]
     assert defects.broken_pairs(df.limit(0)).count() == 0
+    fitted = defects.fit_tagger([("refusal", PROMPT, "I don't know.")] * 9)
+    assert [tuple(r) for r in defects.broken_pairs(df, tagger=fitted).collect()] == [(1, "empty")]
