@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ingest import distinct_rows
 from ..runtime import Scratch, spread
 from .boilerplate import remove_passages
 
@@ -350,15 +351,16 @@ def record_kinds(tables: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
 
 
 def clean_records(tables: list[tuple[str, DataFrame, str, str]], scratch: Scratch) -> DataFrame:
-    """(rec_table, rec_key, kinds, clean), distinct, over tables given as (name, table, key, text).
+    """(rec_table, rec_key, kinds, clean) over tables given as (name, table, key, text).
 
-    Every record with a key is here, those without markup or text too; see :func:`strip_markup`.
+    Rows alike in key and text count once. Every record with a key is here, those without markup or text too; see :func:`strip_markup`.
     The clean texts of a table are the pages of a host: passages that recur on many of them are
     removed, see :func:`boilerplate.remove_passages`, and unique runs are kept.
     """
     out = None
     for name, df, key, text in tables:
-        pages = remove_passages(strip_markup(df, key, text), scratch, "clean")
-        cleaned = pages.select(F.lit(name).alias("rec_table"), F.col(key).cast("string").alias("rec_key"), "kinds", "clean").distinct()
+        records = distinct_rows(df.select(key, text).where(F.col(key).isNotNull()), scratch)
+        pages = remove_passages(strip_markup(records, key, text), scratch, "clean")
+        cleaned = pages.select(F.lit(name).alias("rec_table"), F.col(key).cast("string").alias("rec_key"), "kinds", "clean")
         out = cleaned if out is None else out.unionByName(cleaned)
     return out

@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ingest import distinct_rows
+from ..runtime import Scratch, spread
+
 WORD = re.compile(r"\S+")
 FENCE = re.compile(r"^\s*(```|~~~)")
 HASH = re.compile(r"^\s{0,3}(#{1,6})\s*\S")
@@ -90,8 +93,9 @@ def branch_depths(text: str) -> tuple[list[tuple[int, int]], list[int]]:
 def pack(depth: list[int], limit: int) -> list[tuple[int, int]]:
     """Spans of at most ``limit`` words, cut at the shallowest branches that allow it.
 
-    A subtree within the limit stays whole; an oversized one is split into its children, which
-    are packed alike, and neighbouring results are merged again as long as they fit.
+    A subtree within the limit stays whole, and neighbouring whole siblings are merged as long as
+    they fit; only an oversized node is split into its children. What comes of it isn't merged
+    with its siblings, so no span runs over the border of a node that was split.
     """
 
     def split(a: int, b: int) -> list[tuple[int, int]]:
@@ -99,16 +103,19 @@ def pack(depth: list[int], limit: int) -> list[tuple[int, int]]:
             return [(a, b)]
         top = min(depth[a + 1 : b])
         if top >= WORD_DEPTH:
-            cuts = list(range(a, b, limit))
-        else:
-            cuts = [a, *(i for i in range(a + 1, b) if depth[i] == top)]
+            return [(x, min(x + limit, b)) for x in range(a, b, limit)]
+        cuts = [a, *(i for i in range(a + 1, b) if depth[i] == top)]
         out: list[tuple[int, int]] = []
+        open_ = False  # whether the last span is of whole siblings
         for x, y in zip(cuts, [*cuts[1:], b]):
-            for p, q in split(x, y):
-                if out and q - out[-1][0] <= limit:
-                    out[-1] = (out[-1][0], q)
-                else:
-                    out.append((p, q))
+            if y - x > limit:
+                out += split(x, y)
+                open_ = False
+            elif open_ and y - out[-1][0] <= limit:
+                out[-1] = (out[-1][0], y)
+            else:
+                out.append((x, y))
+                open_ = True
         return out
 
     return split(0, len(depth)) if depth else []
@@ -119,7 +126,9 @@ def split_text(text: str, limit: int = 450, overlap: int = 64) -> list[tuple[str
 
     Every piece but the first begins with the last ``overlap`` words of the one before; no piece
     has more than ``limit`` words; without the overlaps the pieces make up the text. Words are
-    separated by white space. A text within the limit is one piece, a blank one none.
+    separated by white space. A text within the limit is one piece, a blank one none. Where the
+    first piece would have fewer words than the overlap, it is merged with the second, whatever
+    border lies between, as nothing else could be overlapped.
     """
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and below limit")
@@ -137,7 +146,7 @@ def split_text(text: str, limit: int = 450, overlap: int = 64) -> list[tuple[str
 
 
 def split_oversized(
-    df: DataFrame, key: str = "chunk_id", section: str = "section", text: str = "text", limit: int = 450, overlap: int = 64
+    df: DataFrame, scratch: Scratch, key: str = "chunk_id", section: str = "section", text: str = "text", limit: int = 450, overlap: int = 64
 ) -> DataFrame:
     """(key, section, piece_no, n_pieces, n_words, overlap_words, piece) of texts above the limit.
 
@@ -148,7 +157,7 @@ def split_oversized(
     kinds = [df.schema[c].dataType.simpleString() for c in (key, section)]
     schema = f"`{key}` {kinds[0]}, `{section}` {kinds[1]}, piece_no int, n_pieces int, n_words int, overlap_words int, piece string"
     # n + 1 words need 2n + 1 characters at least, so short texts never reach Python.
-    long = df.select(key, section, text).where(F.length(text) > 2 * limit).distinct()
+    long = spread(distinct_rows(df.select(key, section, text).where(F.length(text) > 2 * limit), scratch))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -48,7 +48,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.split_oversized(read_table(spark, sf_dir, "chunks"))
+    return pieces.split_oversized(read_table(spark, sf_dir, "chunks"), Scratch(spark, "p5"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
