@@ -1,3 +1,3 @@
 """corpusloom: document retrieval and corpus analytics as Spark DataFrame plans."""
 
-__version__ = "0.1.0"
+__version__ = "0.2.0"
